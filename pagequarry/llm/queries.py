@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, pii, secrets
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op6_pii": pii.op6_pii,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
