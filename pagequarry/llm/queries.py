@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, secrets
+from . import bpe, pii, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op6_pii": pii.op6_pii,
     "op9_secrets": secrets.op9_secrets,
