@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, secrets, toxicity
+from . import bpe, decontam, pii, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_bpe": bpe.op4_bpe,
     "op6_pii": pii.op6_pii,
     "op9_secrets": secrets.op9_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE_SQL,
+}
