@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_bytes, documents, text_slices
+from .common import broadcast_bytes, documents, small_batches, text_slices
 from .wordbpe import coder
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,7 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 def shared_vocabulary(spark: SparkSession, path: str | None = None):
     """The vocabulary file's bytes as a broadcast; its size is checked."""
+    small_batches(spark)
     with open(path or vocabulary_path(), "rb") as f:
         return broadcast_bytes(spark, f.read(), most=32 << 20)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, small_batches
 from .shingles import shingle_sets
 
 THRESHOLD_PERCENT = 75
@@ -98,6 +98,7 @@ def _sets(items: DataFrame, item_id: str, text: str) -> DataFrame:
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """docs: doc_id, text.  items: item_id, text.  -> doc_id, item_id, shared, item_shingles of each leak."""
     spark = docs.sparkSession
+    small_batches(spark)
     sets = _sets(items, "item_id", "text")
     total = sets.agg(F.sum(F.size("set").cast("long")).alias("n")).first().n or 0
     blocks = int(2 * total // block_shingles) + 1

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, pii, secrets, toxicity
+from . import bpe, decontam, jaccard_join, pii, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_bpe": bpe.op4_bpe,
     "op6_pii": pii.op6_pii,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": jaccard_join.ORACLE_SQL,
     "op3_decontamination": decontam.ORACLE_SQL,
 }

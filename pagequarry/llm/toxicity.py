@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, text_or_empty
+from .common import documents, small_batches, text_or_empty
 from .gbt import BoostedTrees, Isotonic
 
 #: Insults, and second-person words of the four languages.
@@ -124,6 +124,7 @@ def learned_lexicon(sample: DataFrame, most: int = LEXICON_WORDS) -> dict[str, f
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> ToxicityModel:
     """docs: doc_id, text.  labels: doc_id, toxic.  bound: the most labelled rows that are used."""
+    small_batches(docs.sparkSession)
     chosen = labelled_sample(labels, "toxic", bound)
     # At most bound rows of two numbers: small enough to broadcast.
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

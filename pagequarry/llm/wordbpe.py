@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder; `encode_texts` is what the operators call."""
 
-    def __init__(self, spec: str, cache_entries: int = 500_000):
+    def __init__(self, spec: str, cache_entries: int = 250_000):
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         data = json.loads(spec)
