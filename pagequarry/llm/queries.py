@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard_join, pii, secrets, toxicity
+from . import bpe, decontam, jaccard_join, pii, secrets, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_bpe": bpe.op4_bpe,
     "op6_pii": pii.op6_pii,
+    "op8_token_store": token_store.op8_token_store,
     "op9_secrets": secrets.op9_secrets,
 }
 

@@ -35,7 +35,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder; `encode_texts` is what the operators call."""
 
-    def __init__(self, spec: str, cache_entries: int = 250_000):
+    def __init__(self, spec: str, cache_entries: int = 250_000, by_library: bool = False):
+        """by_library: words not met before are encoded by the tokenizers library itself, not by the trie."""
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         data = json.loads(spec)
@@ -46,12 +47,23 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.symbols_of = {i: len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t, i in self.vocab.items()}
-        self.reach: dict[str, int] = {}  # of the last two symbols: the symbols of the longest token that ends so
+        #: Of the last two symbols: the lengths of the tokens that end so, in symbols, longest first.
+        self.reach: dict[str, tuple[int, ...]] = {}
+        ends: dict[str, set[int]] = {}
         for t, i in self.vocab.items():
             if (n := self.symbols_of[i]) > 1:
-                tail = t[-2 - len(self.suffix) :] if self.suffix and t.endswith(self.suffix) else t[-2:]
-                self.reach[tail] = max(n, self.reach.get(tail, 1))
+                ends.setdefault(t[-2 - len(self.suffix) :] if self.suffix and t.endswith(self.suffix) else t[-2:], {1}).add(n)
+        for tail, sizes in ends.items():
+            self.reach[tail] = tuple(sorted(sizes, reverse=True))
         self.letters = byte_letters()
+        self.made_at = dict.fromkeys(self.vocab.values(), -1)  # token -> rank of the merge that makes it; symbols: -1
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.rank_of_ids: dict[int, int] = {}
+        for (a, b), rank in self.ranks.items():
+            x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
+            self.rank_of_ids[x << 20 | y] = rank
+            if self.made_at[z] < 0:
+                self.made_at[z], self.parts[z] = rank, (x, y)
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
@@ -59,7 +71,11 @@ class WordBpe:
         self.word_cache: dict[str, bytes] = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._normal = Tokenizer.from_str(spec).normalizer or normalizers.Sequence([])
+        library = Tokenizer.from_str(spec)
+        library.no_padding()
+        library.no_truncation()
+        self._library = library if by_library else None
+        self._normal = library.normalizer or normalizers.Sequence([])
         self._split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True)
         self._fast_rules(split["pattern"]["Regex"])
 
@@ -104,7 +120,7 @@ class WordBpe:
     # -- the trie
 
     def _merge(self, symbols: list[str]) -> list[str]:
-        """Plain merging by rank, for the verdicts on pairs only."""
+        """Plain merging by rank, for the verdicts on single tokens only."""
         parts = list(symbols)
         while len(parts) > 1:
             rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
@@ -127,14 +143,34 @@ class WordBpe:
         return known
 
     def _follows(self, left: int, right: int) -> bool:
+        """Whether two tokens, joined, encode to themselves.
+
+        Go back in time from the two tokens: undo the later of the merges that made
+        what stands at the joint (of two alike, the right one, as the leftmost goes
+        first).  The two stay apart unless, at some time, what stood at the joint
+        could merge before the merge that was undone.
+        """
         key = left << 20 | right
-        if (known := self._pairs.get(key)) is None:
-            a, b = self.names[left], self.names[right]
-            known = self._merge(self._symbols(a) + self._symbols(b)) == [a, b]
-            if len(self._pairs) > 400_000:
-                self._pairs.clear()
-            self._pairs[key] = known
-        return known
+        if (known := self._pairs.get(key)) is not None:
+            return known
+        ranks, made, parts = self.rank_of_ids.get, self.made_at, self.parts
+        limit, x, y, apart = 1 << 60, left, right, True
+        while True:
+            rank = ranks(x << 20 | y)
+            if rank is not None and rank < limit:
+                apart = False
+                break
+            at_x, at_y = made[x], made[y]
+            if at_x > at_y:
+                limit, x = at_x, parts[x][1]
+            elif at_y >= 0:
+                limit, y = at_y + 1, parts[y][0]
+            else:
+                break
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        self._pairs[key] = apart
+        return apart
 
     def encode_words(self, words) -> dict[str, bytes]:
         """word -> ids as 32-bit integers in bytes.
@@ -145,10 +181,10 @@ class WordBpe:
         follow the last token of what precedes it.
         """
         letters, out = self.letters, {}
-        vocab, pairs, whole, reach, sizes, suffix = self.vocab.get, self._pairs.get, self._whole.get, self.reach, self.symbols_of, self.suffix
+        vocab, pairs, whole, reach, sizes, suffix = self.vocab.get, self._pairs.get, self._whole.get, self.reach.get, self.symbols_of, self.suffix
         mapped = sorted([("".join([letters[b] for b in w.encode()]), w) for w in set(words) if w])
         path: list[int] = [0]
-        before = ""
+        before, one = "", (1,)
         for word, original in mapped:
             n = len(word)
             shared, most = 0, min(n, len(before)) - 1
@@ -157,8 +193,10 @@ class WordBpe:
             del path[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 ending = suffix if end == n else ""
-                start = end - reach.get(word[end - 2 : end] + ending, 1) if end > 1 else 0
-                for at in range(start if start > 0 else 0, end):
+                for size in reach(word[end - 2 : end] + ending, one) if end > 1 else one:
+                    at = end - size
+                    if at < 0:
+                        continue
                     token = vocab(word[at:end] + ending)
                     if token is None:
                         continue
@@ -188,6 +226,11 @@ class WordBpe:
             before = word
         return out
 
+    def _by_library(self, words: set[str]) -> dict[str, bytes]:
+        listed = sorted(words)
+        found = self._library.encode_batch_fast(listed, add_special_tokens=False) if listed else []
+        return {w: array("i", e.ids).tobytes() for w, e in zip(listed, found, strict=True)}
+
     # -- texts
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
@@ -206,7 +249,8 @@ class WordBpe:
         if missing:
             pieces = {c: [c] if c in self.special else self._plain_words(c) for c in missing}
             encoded = self.word_cache
-            encoded.update(self.encode_words({w for ws in pieces.values() for w in ws if w not in encoded}))
+            fresh_words = {w for ws in pieces.values() for w in ws if w not in encoded}
+            encoded.update(self._by_library(fresh_words) if self._library else self.encode_words(fresh_words))
             fresh = {c: b"".join([encoded[w] for w in ws]) for c, ws in pieces.items()}
             for i in open_ones:
                 found[i] = [f if f is not None else fresh[c] for c, f in zip(chunks[i], found[i], strict=True)]
@@ -223,6 +267,6 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def coder(spec: str) -> WordBpe:
+def coder(spec: str, by_library: bool = False) -> WordBpe:
     """One coder for each Python worker and vocabulary."""
-    return WordBpe(spec)
+    return WordBpe(spec, by_library=by_library)
