@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard_join, pii, secrets, token_store, toxicity
+from . import ann, bpe, decontam, jaccard_join, pii, secrets, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op8_token_store": token_store.op8_token_store,
     "op9_secrets": secrets.op9_secrets,
+    "op10_neighbours": ann.op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
