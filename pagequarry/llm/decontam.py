@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,20 +95,14 @@ def _sets(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return rows.select("item_id", run("text").alias("set")).filter(F.size("set") > 0)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """docs: doc_id, text.  items: item_id, text.  -> doc_id, item_id, shared, item_shingles of each leak."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, percent: int, block_shingles: int):
+    """Indexes of the items, each in a broadcast of a checked size, with the Arrow type of the ids."""
+    spark = items.sparkSession
     small_batches(spark)
     sets = _sets(items, "item_id", "text")
     total = sets.agg(F.sum(F.size("set").cast("long")).alias("n")).first().n or 0
     blocks = int(2 * total // block_shingles) + 1
     sets = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)))
-    types = {f.name: f for f in [*docs.schema, *items.schema]}
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", types["item_id"].dataType), T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType())]
-    )
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = None
     for b in range(blocks):
         rows = sets.filter(F.col("block") == b).select("item_id", "set").toArrow()
         order = np.argsort(np.array([str(x) for x in rows["item_id"].to_pylist()])) if rows.num_rows else []
@@ -116,9 +110,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCE
         index = SketchIndex([ids[i] for i in order], [np.array(values[i], dtype=np.int64).view(np.uint64) for i in order], percent)
         if sum(map(len, index.sets)) > 4 * block_shingles:
             raise ValueError("a block of items is larger than may be broadcast")
-        shared = spark.sparkContext.broadcast(index)
+        yield spark.sparkContext.broadcast(index), rows.schema.field("item_id").type
+
+
+def leak_count(text: str, items: DataFrame, percent: int = THRESHOLD_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> Column:
+    """How many items stand in a text, as a column."""
+
+    def counter(shared):
+        @F.arrow_udf(T.LongType())
+        def count(column: pa.Array) -> pa.Array:
+            return pa.array([len(shared.value.leaks(found)) for found in shingle_sets(column)], pa.int64())
+
+        return count
+
+    out = F.lit(0).cast("long")
+    for shared, _ in _blocks(items, percent, block_shingles):
+        out = out + counter(shared)(F.col(text).cast("string"))
+    return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """docs: doc_id, text.  items: item_id, text.  -> doc_id, item_id, shared, item_shingles of each leak."""
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            T.StructField("item_id", items.schema["item_id"].dataType),
+            T.StructField("shared", T.LongType()),
+            T.StructField("item_shingles", T.LongType()),
+        ]
+    )
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = None
+    for shared, id_type in _blocks(items, percent, block_shingles):
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, id_type=id_type) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 docs_at, found_items, counts = [], [], []
@@ -130,14 +155,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCE
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(docs_at, pa.int64())),
-                        pa.array([index.ids[i] for i in found_items], rows_type),
+                        pa.array([index.ids[i] for i in found_items], id_type),
                         pa.array(counts, pa.int64()),
                         pa.array([len(index.sets[i]) for i in found_items], pa.int64()),
                     ],
                     ["doc_id", "item_id", "shared", "item_shingles"],
                 )
 
-        rows_type = rows.schema.field("item_id").type
         part = narrow.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
