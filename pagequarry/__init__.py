@@ -1,0 +1 @@
+"""Analytics for large collections of web pages, as Spark DataFrame operators."""
