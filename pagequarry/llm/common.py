@@ -45,6 +45,17 @@ def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system; workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it keeps what it has
+        pass
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

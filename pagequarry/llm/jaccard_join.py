@@ -5,7 +5,8 @@ Equal sets are one node.  Shingles have one order for all sets: rare ones first
 hash, very common ones last by count.  Two sets that link share a shingle within
 the first quarter of each (prefix filter), so nodes meet in the tile of a shared
 prefix shingle.  Within a tile, nodes are sorted by size, and only sizes within a
-factor of 4/3 are compared (size bands).  Pairs then pass the bitmap signatures: bit
+factor of 4/3 are compared (size bands).  A pair must meet in as many tiles as the
+prefixes of linked sets do.  Pairs then pass the bitmap signatures: bit
 h mod B is the parity of the set's hashes there; the bits in which two bitmaps differ
 can't outnumber the elements in which the sets differ, which bounds the overlap from
 above.  B grows with the size band; a wider bitmap folds onto a narrower one.  What
@@ -14,9 +15,11 @@ passes is decided by exact intersection of the sorted arrays.
 Hot tiles.  Lines and passages that very many documents share come last in the order
 and so leave the prefixes of other texts.  What remains are groups of near copies.
 A tile of more than TILE nodes compares its nodes with a few of its own size band
-only; links found so far are joined to components; a second round then compares, in
-such tiles, all pairs of different components under the bitmaps' bound.  Pairs within
-a component needn't be compared, so no component is lost and no group costs its square.
+only; links found so far are joined to components.  Of the tiles that still hold
+several components, a second round compares each node with its likest partners of
+other components, by the bitmaps, and a third all pairs of different components that
+the bitmaps allow.  Pairs within a component needn't be compared, so no component is
+lost and no group costs its square.
 
 Rows carry node keys, never texts; candidate pairs move with signatures of some
 hundred bytes, and the sets of surviving pairs alone are shuffled.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches, written
+from .common import documents, small_batches, trim, written
 from .components import components
 from .decontam import SHINGLES_SQL
 from .shingles import shingle_sets
@@ -45,10 +48,14 @@ from .shingles import shingle_sets
 PERCENT = 75
 #: Nodes in a tile that are compared with each other at once.
 TILE = 64
+#: A pair chosen in a hot tile counts as met so often: it passes to the bitmaps.
+CERTAIN = 1 << 20
+#: Partners of other components that a node of a hot tile is compared with before all of them are.
+LIKEST = 6
 #: A shingle counted this often comes last in the order; at most MOST_HOT of them do (8 MB broadcast).
 HOT_COUNT, MOST_HOT = 48, 500_000
 #: Shingles counted together in a task, and how often one must occur there to be told.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 3
+COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
 #: Prefix entries in a bucket of tiles.
 BUCKET_ENTRIES = 400_000
 #: Needed nodes up to this number are broadcast (8 bytes each), more are joined by shuffle.
@@ -111,6 +118,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())],
             ["doc_id", "node", "n_shingles", "bits", "hashes"],
         )
+        trim()
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +178,7 @@ def _prefixes(hot, buckets: int, percent: int):
                     out_bucket.append(b)
                     out.append(k[o].tobytes() + v[o].tobytes() + n[o].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out, pa.binary())], ["bucket", "blob"])
+            trim()
 
     return run
 
@@ -194,52 +203,54 @@ def _tile_pairs(blobs: list[bytes], percent: int) -> pa.RecordBatch:
     k, v, n = k[new], v[new], n[new]
     _, first, inverse, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
     size = count[inverse]
-    lefts, rights = [], []
+    lefts, rights, star_a, star_b = [], [], [], []
     keep = np.flatnonzero((size > 1) & (size <= TILE))
-    kk, vv, nn = k[keep], v[keep], n[keep]
+    kk, nn = k[keep], n[keep]
     for step in range(1, TILE):
-        if step >= len(kk):
+        same = kk[step:] == kk[:-step]
+        if step >= len(kk) or not same.any():
             break
-        ok = (kk[step:] == kk[:-step]) & (percent * nn[step:] <= 100 * nn[:-step])
-        if not (kk[step:] == kk[:-step]).any():
-            break
-        at = np.flatnonzero(ok)
-        lefts.append(vv[at])
-        rights.append(vv[at + step])
-    hot_key, hot_node, hot_size = [], [], []
+        at = np.flatnonzero(same & (percent * nn[step:] <= 100 * nn[:-step]))
+        lefts.append(keep[at])
+        rights.append(keep[at + step])
     for g in np.flatnonzero(count > TILE):
-        part = slice(first[g], first[g] + count[g])
-        nodes, sizes = v[part], n[part]
-        hot_key.append(k[part])
-        hot_node.append(nodes)
-        hot_size.append(sizes)
+        base, sizes = first[g], n[first[g] : first[g] + count[g]]
         # Size bands of a factor 1.15; each node meets one of its own band and one of the band below.
         band = np.floor(np.log(sizes) / np.log(1.15)).astype(np.int64)
         marks, starts, counts = np.unique(band, return_index=True, return_counts=True)
-        turn = int(k[part][0] & np.uint64(3))
+        turn = int(k[base] & np.uint64(3))
         chosen = starts + turn * counts // 4
         own = np.searchsorted(marks, band)
         for below in (0, 1):
             b = own - below
             rep = chosen[np.maximum(b, 0)]
             low, high = np.minimum(sizes, sizes[rep]), np.maximum(sizes, sizes[rep])
-            at = np.flatnonzero((b >= 0) & (percent * high <= 100 * low) & (nodes[rep] != nodes))
-            lefts.append(nodes[at])
-            rights.append(nodes[rep[at]])
-    a = np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.int64)
-    b = np.concatenate(rights) if rights else np.zeros(0, dtype=np.int64)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
-    hk = np.concatenate(hot_key).view(np.int64) if hot_key else np.zeros(0, dtype=np.int64)
-    hv = np.concatenate(hot_node) if hot_node else np.zeros(0, dtype=np.int64)
-    empty = pa.nulls(len(hk), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([pa.array(pairs[0]), pa.array(hv)]),
-            pa.concat_arrays([pa.array(pairs[1]), empty]),
-            pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(hk)]),
-        ],
-        ["a", "b", "tile"],
-    )
+            at = np.flatnonzero((b >= 0) & (percent * high <= 100 * low) & (rep != np.arange(len(sizes))))
+            star_a.append(base + at)
+            star_b.append(base + rep[at])
+
+    def pairs_of(at: np.ndarray, to: np.ndarray, weight: int) -> np.ndarray:
+        """Distinct pairs, the lesser node first: a, b, their sizes, and how often the pair was met times weight."""
+        if not len(at):
+            return np.zeros((5, 0), dtype=np.int64)
+        swap = v[at] > v[to]
+        x, y = np.where(swap, to, at), np.where(swap, at, to)
+        order = np.lexsort((v[y], v[x]))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (v[x][1:] != v[x][:-1]) | (v[y][1:] != v[y][:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(x))) * weight
+        return np.stack([v[x[first]], v[y[first]], n[x[first]], n[y[first]], times])
+
+    met = pairs_of(np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.int64), np.concatenate(rights) if rights else np.zeros(0, dtype=np.int64), 1)
+    stars = pairs_of(np.concatenate(star_a) if star_a else np.zeros(0, dtype=np.int64), np.concatenate(star_b) if star_b else np.zeros(0, dtype=np.int64), CERTAIN)
+    pairs = np.concatenate([met, stars], axis=1)
+    hot = np.flatnonzero(size > TILE)
+    columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(v[hot])])]
+    columns += [pa.concat_arrays([pa.array(pairs[i]), pa.nulls(len(hot), pa.int64())]) for i in range(1, 5)]
+    columns.append(pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(k[hot].view(np.int64))]))
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "shared", "tile"])
 
 
 def _tiles(percent: int):
@@ -250,6 +261,7 @@ def _tiles(percent: int):
                 if bucket != now and held:
                     yield _tile_pairs(held, percent)
                     held = []
+                    trim()
                 now = bucket
                 held.append(blob.as_py())
         if held:
@@ -258,29 +270,40 @@ def _tiles(percent: int):
     return run
 
 
-def _hot_pairs(percent: int):
-    """Second round: in each hot tile, pairs of different labels whose bitmaps allow a link.  Input: tile, node, n, label, bits, sorted by tile."""
+def _hot_pairs(percent: int, most: int | None):
+    """In each hot tile, pairs of different labels whose bitmaps allow a link: the `most` likest of each active node, or all.  Input: tile, node, n, label, bits, active, sorted by tile."""
 
     def of(rows: list[tuple]) -> tuple[list, list]:
         rows.sort(key=lambda r: (r[1], r[0]))
         node, n, label = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+        active = np.array([r[4] for r in rows], dtype=bool)
+        width = np.array([len(r[3]) for r in rows])
+        stacks = {w: np.frombuffer(b"".join(r[3] for r in rows if len(r[3]) == w), dtype=np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
+        row = np.zeros(len(rows), dtype=np.int64)  # place within the stack of its width
+        for w in stacks:
+            row[width == w] = np.arange(int((width == w).sum()))
         lefts, rights = [], []
-        if len(np.unique(label)) > 1:
-            for i in range(len(rows)):
-                end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-                at = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
-                if not len(at):
-                    continue
-                for width in np.unique([len(rows[j][3]) for j in at]):
-                    same = [j for j in at if len(rows[j][3]) == width]
-                    other = np.frombuffer(b"".join(rows[j][3] for j in same), dtype=np.uint64).reshape(len(same), -1)
-                    own = np.frombuffer(rows[i][3], dtype=np.uint64)
-                    w = min(len(own), other.shape[1])
-                    differ = np.bitwise_count(_fold(other, w) ^ _fold(own, w)).sum(axis=1)
-                    good = (n[i] + n[same] - differ.astype(np.int64)) // 2 >= _need(n[i], n[same])
-                    for j in np.array(same)[good]:
-                        lefts.append(min(node[i], node[j]))
-                        rights.append(max(node[i], node[j]))
+        for i in np.flatnonzero(active):
+            # All partners of nodes with a limit; each pair once without.
+            start = int(np.searchsorted(100 * n, percent * n[i], side="left")) if most else i + 1
+            end = int(np.searchsorted(percent * n, 100 * n[i], side="right"))
+            at = np.flatnonzero(label[start:end] != label[i]) + start
+            if not len(at):
+                continue
+            good, unlike = [], []
+            for w, stack in stacks.items():
+                same = at[width[at] == w]
+                own = stacks[width[i]][row[i]]
+                cells = min(len(own), stack.shape[1])
+                differ = np.bitwise_count(_fold(stack[row[same]], cells) ^ _fold(own, cells)).sum(axis=1).astype(np.int64)
+                ok = (n[i] + n[same] - differ) // 2 >= _need(n[i], n[same])
+                good.append(same[ok])
+                unlike.append(differ[ok])
+            good, unlike = np.concatenate(good), np.concatenate(unlike)
+            if most:
+                good = good[np.lexsort((node[good], unlike))[:most]]
+            lefts += np.minimum(node[i], node[good]).tolist()
+            rights += np.maximum(node[i], node[good]).tolist()
         return lefts, rights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +311,8 @@ def _hot_pairs(percent: int):
 
         def made():
             a, b = of(held)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            pairs = sorted(set(zip(a, b, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for tile, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -339,6 +363,32 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(linked("xa", "xb")).select("a", "b")
 
 
+def _met_enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """a, b of pairs that met in as many tiles as linked sets must.
+
+    Of the set whose prefix ends first, all prefix shingles that the other set holds
+    are in the other's prefix; a linked set lacks n less the needed overlap at most.  Hot
+    tiles, where not all pairs meet, count as met.
+    """
+    hot = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
+    if hot.count() <= BROADCAST_NODES:
+        hot = F.broadcast(hot)
+    pairs = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = pairs.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("ha")), "a", "left").join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hb")), "b", "left")
+    need = f"ceil({percent} * (na + nb) / {100 + percent})"
+    prefix = lambda n: f"({n} - ceil({percent} * {n} / 100) + 1)"
+    least = f"least({prefix('na')} - na, {prefix('nb')} - nb) + {need}"
+    return pairs.filter(F.expr(f"shared + least(coalesce(ha, 0), coalesce(hb, 0)) >= {least}")).select("a", "b")
+
+
+def _mixed_tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """tile, node, label of the hot tiles that hold more than one component."""
+    named = crowded.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
+    named = written(named, "hot")
+    mixed = named.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tile")
+    return written(named.join(mixed, "tile", "left_semi"), "mixed")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """-> doc_id, n_shingles, component_id for each row: the least doc_id reachable by links of percent or more."""
     spark = df.sparkSession
@@ -353,22 +403,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     buckets = int(total // BUCKET_ENTRIES) + 16
     blobs = nodes.select("node", "n_shingles", "hashes").mapInArrow(_prefixes(hot, buckets, percent), "bucket long, blob binary")
-    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(percent), "a long, b long, tile long")
+    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(percent), "a long, b long, na long, nb long, shared long, tile long")
     tiled = written(tiled, "tiles")
     signed = nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"])
-    pairs = written(_allowed(tiled.filter(F.col("b").isNotNull()).select("a", "b").distinct(), signed), "pairs")
+    crowded = tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct()
+    pairs = written(_allowed(_met_enough(tiled.filter(F.col("b").isNotNull()), crowded, percent), signed), "pairs")
     links = written(_links(pairs, nodes), "links")
     labels = components(links)
 
-    crowded = tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct()
-    if crowded.limit(1).count():
-        labelled = crowded.join(signed, "node").join(labels, "node", "left").select("tile", "node", "n_shingles", F.coalesce("label", "node").alias("label"), "bits")
-        more = labelled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_hot_pairs(percent), "a long, b long").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            late = written(_links(more, nodes), "links")
-            if late.limit(1).count():
-                labels = components(links.union(late))
+    tested = pairs
+    for most in (LIKEST, None):
+        mixed = _mixed_tiles(crowded, labels)
+        if not mixed.limit(1).count():
+            break
+        if most:  # each node is active in one of its tiles
+            first = mixed.groupBy("node").agg(F.min("tile").alias("tile")).withColumn("active", F.lit(True))
+            mixed = mixed.join(first, ["tile", "node"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        else:
+            mixed = mixed.withColumn("active", F.lit(True))
+        entries = mixed.join(signed, "node").select("tile", "node", "n_shingles", "label", "bits", "active")
+        more = entries.repartition("tile").sortWithinPartitions("tile").mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(more)
+        late = written(_links(more, nodes), "links")
+        if late.limit(1).count():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
 
     sets = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -32,10 +32,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+class _Known(dict):
+    """Pieces and their ids; a piece that isn't known is noted and counts as empty for the moment."""
+
+    def __init__(self):
+        super().__init__()
+        self.lost: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self.lost.append(piece)
+        return b""
+
+
 class WordBpe:
     """Encoder and decoder; `encode_texts` is what the operators call."""
 
-    def __init__(self, spec: str, cache_entries: int = 250_000, by_library: bool = False):
+    def __init__(self, spec: str, cache_entries: int = 300_000, by_library: bool = False):
         """by_library: words not met before are encoded by the tokenizers library itself, not by the trie."""
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
@@ -66,7 +78,7 @@ class WordBpe:
                 self.made_at[z], self.parts[z] = rank, (x, y)
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Known()
         self.cache_entries = cache_entries
         self.word_cache: dict[str, bytes] = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -235,27 +247,29 @@ class WordBpe:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as 32-bit integers in bytes; null is empty.  Distinct pieces of the texts not met before go through the trie together."""
-        get = self.cache.get
         if len(self.cache) > self.cache_entries:
-            self.cache.clear()
+            self.cache = _Known()
         if len(self.word_cache) > self.cache_entries:
             self.word_cache = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
+        cache = self.cache
+        known, lost = cache.__getitem__, cache.lost
         chunks = [self._chunks(t) if t else [] for t in texts]
-        found = [list(map(get, c)) for c in chunks]
-        missing: set[str] = set()
-        open_ones = [i for i, f in enumerate(found) if None in f]
-        for i in open_ones:
-            missing.update(c for c, f in zip(chunks[i], found[i], strict=True) if f is None)
-        if missing:
-            pieces = {c: [c] if c in self.special else self._plain_words(c) for c in missing}
+        out, open_ones, before = [], [], 0
+        for i, c in enumerate(chunks):
+            out.append(b"".join(map(known, c)))
+            if len(lost) > before:  # something of this text wasn't known
+                before = len(lost)
+                open_ones.append(i)
+        if lost:
             encoded = self.word_cache
-            fresh_words = {w for ws in pieces.values() for w in ws if w not in encoded}
-            encoded.update(self._by_library(fresh_words) if self._library else self.encode_words(fresh_words))
-            fresh = {c: b"".join([encoded[w] for w in ws]) for c, ws in pieces.items()}
+            pieces = {c: [c] if c in self.special else self._plain_words(c) for c in set(lost)}
+            lost.clear()
+            fresh = {w for ws in pieces.values() for w in ws if w not in encoded}
+            encoded.update(self._by_library(fresh) if self._library else self.encode_words(fresh))
+            cache.update({c: encoded[ws[0]] if len(ws) == 1 else b"".join([encoded[w] for w in ws]) for c, ws in pieces.items()})
             for i in open_ones:
-                found[i] = [f if f is not None else fresh[c] for c, f in zip(chunks[i], found[i], strict=True)]
-            self.cache.update(fresh)
-        return [b"".join(f) for f in found]
+                out[i] = b"".join(map(known, chunks[i]))
+        return out
 
     def decode(self, ids) -> str:
         """As the library's decode without a decoder: the tokens' texts joined by one space; unknown ids are left out."""
