@@ -271,9 +271,13 @@ def _tiles(percent: int):
 
 
 def _hot_pairs(percent: int, most: int | None):
-    """In each hot tile, pairs of different labels whose bitmaps allow a link: the `most` likest of each active node, or all.  Input: tile, node, n, label, bits, active, sorted by tile."""
+    """In each hot tile, pairs of different labels whose bitmaps allow a link: the `most` likest of each active node, or all.
 
-    def of(rows: list[tuple]) -> tuple[list, list]:
+    Input: tile, node, n, label, bits, active, tiles, sorted by tile.  A pair that
+    shares several tiles is told in the first of them.
+    """
+
+    def of(rows: list[tuple], tile: int) -> tuple[list, list]:
         rows.sort(key=lambda r: (r[1], r[0]))
         node, n, label = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
         active = np.array([r[4] for r in rows], dtype=bool)
@@ -302,6 +306,9 @@ def _hot_pairs(percent: int, most: int | None):
             good, unlike = np.concatenate(good), np.concatenate(unlike)
             if most:
                 good = good[np.lexsort((node[good], unlike))[:most]]
+            else:
+                own_tiles = set(rows[i][5])
+                good = np.array([j for j in good if min(own_tiles.intersection(rows[j][5])) == tile], dtype=np.int64)
             lefts += np.minimum(node[i], node[good]).tolist()
             rights += np.maximum(node[i], node[good]).tolist()
         return lefts, rights
@@ -310,7 +317,7 @@ def _hot_pairs(percent: int, most: int | None):
         held, now = [], None
 
         def made():
-            a, b = of(held)
+            a, b = of(held, now)
             pairs = sorted(set(zip(a, b, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -328,16 +335,16 @@ def _hot_pairs(percent: int, most: int | None):
 
 
 def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose bitmaps allow a link."""
+    """a, b, slack: pairs whose bitmaps allow a link, and by how much."""
 
-    @F.arrow_udf(T.BooleanType())
-    def allows(xa: pa.Array, xb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+    @F.arrow_udf(T.LongType())
+    def spare(xa: pa.Array, xb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         rows = zip(xa, xb, na.to_pylist(), nb.to_pylist(), strict=True)
-        return pa.array([overlap_bound(p.as_py(), q.as_py(), m, n) >= _need(m, n) for p, q, m, n in rows], pa.bool_())
+        return pa.array([overlap_bound(p.as_py(), q.as_py(), m, n) - _need(m, n) for p, q, m, n in rows], pa.int64())
 
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    return pairs.join(a, "a").join(b, "b").filter(allows("xa", "xb", "na", "nb")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", spare("xa", "xb", "na", "nb").alias("slack")).filter("slack >= 0")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -381,6 +388,13 @@ def _met_enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.expr(f"shared + least(coalesce(ha, 0), coalesce(hb, 0)) >= {least}")).select("a", "b")
 
 
+def _parted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components."""
+    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _mixed_tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """tile, node, label of the hot tiles that hold more than one component."""
     named = crowded.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
@@ -408,9 +422,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     signed = nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"])
     crowded = tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct()
     pairs = written(_allowed(_met_enough(tiled.filter(F.col("b").isNotNull()), crowded, percent), signed), "pairs")
-    links = written(_links(pairs, nodes), "links")
+    # Of a group of alike texts first the pairs with each node's least and likest partners, then those that still part components.
+    few = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    few = few.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))).distinct()
+    links = written(_links(written(few, "pairs"), nodes), "links")
     labels = components(links)
+    parted = _parted(pairs, labels).join(few, ["a", "b"], "left_anti")
+    parted = written(parted.select("a", "b"), "pairs")
+    if parted.limit(1).count():
+        late = written(_links(parted, nodes), "links")
+        if late.limit(1).count():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
 
+    pairs = pairs.select("a", "b")
     tested = pairs
     for most in (LIKEST, None):
         mixed = _mixed_tiles(crowded, labels)
@@ -421,7 +445,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             mixed = mixed.join(first, ["tile", "node"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
         else:
             mixed = mixed.withColumn("active", F.lit(True))
-        entries = mixed.join(signed, "node").select("tile", "node", "n_shingles", "label", "bits", "active")
+        own = mixed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # a node's own hot prefix shingles
+        entries = mixed.join(signed, "node").join(own, "node").select("tile", "node", "n_shingles", "label", "bits", "active", "tiles")
         more = entries.repartition("tile").sortWithinPartitions("tile").mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(more)
