@@ -1,0 +1,144 @@
+"""Similarity join, decontamination and neighbours against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from pagequarry.llm import ann, decontam, jaccard_join
+from pagequarry.llm.shingles import shingle_sets
+
+
+def brute_set(text: str | None, size: int = 5) -> set[tuple[str, ...]]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    size = min(size, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def least_reachable(sets: list[set]) -> list[int]:
+    up = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 4 * len(a) >= 3 * len(b) and 4 * len(b) >= 3 * len(a) and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def test_shingles_equal_the_definition():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abAB é\n\t\x0b ") for _ in range(rnd.randint(0, 40))) for _ in range(600)] + [None, "", " "]
+    sets, want = list(shingle_sets(pa.array(texts))), [brute_set(t) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    for _ in range(4_000):
+        i, j = rnd.randrange(len(texts)), rnd.randrange(len(texts))
+        assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 4_000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in rng.integers(1, 900, 2))
+        bound = jaccard_join.overlap_bound(jaccard_join.parity_bitmap(a), jaccard_join.parity_bitmap(b), len(a), len(b))
+        assert bound >= len(np.intersect1d(a, b))
+
+
+def test_components_with_hot_tiles_equal_brute_force(spark, monkeypatch):
+    """Small tiles, so that a group of near copies and a common line are hot."""
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "HOT_COUNT", 6)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 2_000)
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(3_000)}" for _ in range(160)]
+    texts: list[str | None] = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6, 8])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    line = " ".join(f"l{k}" for k in range(30))
+    texts += [line + " " + " ".join(f"y{rnd.randrange(10**6)}" for _ in range(rnd.randint(3, 40))) for _ in range(80)]
+    texts += [line] * 10 + ["", None, "a b", "A  b", "c"] * 3
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    sets = [brute_set(t) for t in texts]
+    want = least_reachable(sets)
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
+def test_similarity_join_of_an_empty_table(spark):
+    assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_leaks_equal_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(400)}"
+    items = [" ".join(word() for _ in range(rnd.choice([3, 6, 12, 40, 90]))) for _ in range(40)] + ["", None]
+    docs: list[str | None] = []
+    for _ in range(120):
+        words = [word() for _ in range(rnd.randint(0, 300))]
+        if rnd.random() < 0.6:
+            own = items[rnd.randrange(40)].split()
+            cut = rnd.randint(0, len(own) // 3)
+            words[5:5] = own[cut:]
+        docs.append(" ".join(words))
+    docs += ["", None, items[0]]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for i, t in enumerate(docs):
+        for j, x in enumerate(items):
+            s = brute_set(x)
+            if s and 100 * len(s & brute_set(t)) >= 75 * len(s):
+                want.add((i, j, len(s & brute_set(t)), len(s)))
+    for block in (decontam.BLOCK_SHINGLES, 600):  # one block, and several
+        assert {tuple(r) for r in decontam.find_leaks(d, b, block_shingles=block).collect()} == want
+    counts = {r.doc_id: r.n for r in d.select("doc_id", decontam.leak_count("text", b).alias("n")).collect()}
+    assert counts == {i: len({w for w in want if w[0] == i}) for i in range(len(docs))}
+
+
+def test_neighbours_reach_their_recall(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 24)) * rng.uniform(0.5, 2, (900, 1))
+    x[400:460] = x[400] + 0.05 * rng.standard_normal((60, 24))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(2_000, None), (2_020, [0.0] * 24), (2_040, [float("nan")] * 24), (2_060, [1.0]), (None, [1.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0")).toPandas()
+    hits = total = 0
+    for q in range(0, 900, 20):
+        scores = (x * x[q]).sum(axis=1)
+        scores[q] = -np.inf
+        top = np.lexsort((np.arange(900), -scores))[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 20 and list(mine["rank"]) == list(range(1, 21))
+        assert np.allclose(mine.score, scores[mine.vec_id]) and list(mine.score) == sorted(mine.score, reverse=True)
+        hits, total = hits + len(set(top) & set(mine.vec_id)), total + 20
+    assert set(got.query_id) == set(range(0, 900, 20)) and hits / total >= 0.9
+
+
+def test_multi_index_retrieves_every_code_within_a_radius():
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 256, (500, 32)).astype(np.uint8)
+    codes[:50] = codes[0] ^ (rng.random((50, 32)) < 0.05).astype(np.uint8)
+    index = ann.MultiIndex(codes)
+    for radius in (0, 10, 31, 64, 110, 256):
+        want = np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(axis=1) <= radius)
+        assert index.within(codes[0], radius).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, None)]])
+def test_neighbours_of_tiny_tables(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ann.nearest(df, df).count() == 0
