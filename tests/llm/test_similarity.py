@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from pagequarry.llm import ann, decontam, jaccard_join
+from pagequarry.llm.components import components
 from pagequarry.llm.shingles import shingle_sets
 
 
@@ -77,6 +78,13 @@ def test_components_with_hot_tiles_equal_brute_force(spark, monkeypatch):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    chain = list(range(3_000))
+    random.Random(2).shuffle(chain)
+    got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")).collect()
+    assert len(got) == 3_000 and {r.label for r in got} == {0}
+
+
 def test_similarity_join_of_an_empty_table(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
