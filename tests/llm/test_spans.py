@@ -71,6 +71,14 @@ def test_checksums_and_context(spark):
     assert [[x.kind for x in r.pii_spans] for r in rows] == [["iban"], [], ["ssn"], []]
 
 
+def test_iban_before_a_capital_or_digits(spark):
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "LC55HEMM000100010012001200023015"]
+    texts = [a + b for a in ibans for b in ("", " Please pay", " The bank", " BIC COBADEFF", " 2024", ". Thanks", " A")]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = [[texts[r.doc_id][x.start : x.end] for x in r.pii_spans if x.kind == "iban"] for r in rows]
+    assert got == [[a] for a in ibans for _ in range(7)]
+
+
 def test_redaction_covers_every_span(spark):
     texts = ["call +1 (555) 010-9999 or a@b.co, 10.0.0.1", None, "plain", "x 4111 1111 1111 1111 x"]
     df = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
