@@ -1,25 +1,27 @@
 """BPE encoding and decoding of whole texts.
 
 Each task walks a trie of the distinct words of its batches (see wordbpe.py);
-there is no shuffle.  Encodings of words are kept between batches, a bounded number
-of them in each Python worker, so a lost executor costs only its own tasks.
+there is no shuffle.  Encodings of words are kept between batches, bounded in bytes in
+each Python worker, so a lost executor costs only its own tasks.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; the
-ids column is never null.  Repeated rows are encoded each.  A column of the input
-named like a result is replaced by it; all others pass through untouched.
+ids column is never null.  Repeated rows are encoded each.  A very long text is
+encoded whole, in memory of some times its size; a very long word isn't kept.  An
+empty table stays empty.  A column of the input named like a result is replaced by
+it; all others pass through untouched.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_bytes, documents, small_batches, text_slices
+from .common import broadcast_bytes, documents, small_batches, text_slices, trim
 from .wordbpe import coder
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -43,13 +45,6 @@ def _spec(data: bytes) -> str:
     return data.decode()
 
 
-def id_lists(parts: list[bytes]) -> pa.ListArray:
-    """Lists of 32-bit ids from their bytes."""
-    ends = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-
-
 def _together(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
@@ -61,7 +56,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(column: pa.Array) -> pa.Array:
         c = coder(_spec(shared.value))
-        return _together([id_lists(c.encode_texts(s.to_pylist())) for s in text_slices(column)], pa.list_(pa.int32()))
+        return _together([c.encode_column(part) for part in text_slices(column)], pa.list_(pa.int32()))
 
     return df.withColumn(ids, run(F.col(text).cast("string")))
 
@@ -72,8 +67,7 @@ def decode(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded", voca
 
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:
-        c = coder(_spec(shared.value))
-        return pa.array([c.decode(x or ()) for x in column.to_pylist()], pa.string())
+        return coder(_spec(shared.value)).decode_column(column)
 
     return df.withColumn(decoded, run(F.col(ids)))
 
@@ -85,14 +79,15 @@ def encode_and_decode(df: DataFrame, text: str = "text", ids: str = "token_ids",
     arrow = pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     @F.arrow_udf(kind)
-    def run(column: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = coder(_spec(shared.value))
-        out = []
-        for part in text_slices(column):
-            found = c.encode_texts(part.to_pylist())
-            texts = [c.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in found]
-            out.append(pa.StructArray.from_arrays([id_lists(found), pa.array(texts, pa.string())], ["ids", "text"]))
-        return _together(out, arrow)
+        for column in columns:
+            out = []
+            for part in text_slices(column):
+                found = c.encode_column(part)
+                out.append(pa.StructArray.from_arrays([found, c.decode_column(found)], ["ids", "text"]))
+            yield _together(out, arrow)
+        trim()
 
     both = df.withColumn("__coded", run(F.col(text).cast("string")))
     return both.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.text")}).drop("__coded")

@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 4 << 20) -> None:
     """Arrow batches of at most so many rows and about so many bytes, so that a Python worker holds little of long texts at once.
 
     These are settings of the session; they change no result.
@@ -93,6 +93,45 @@ def text_slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Arra
         start = stop
 
 
+class Recent:
+    """A map of strings bounded in bytes.
+
+    Entries asked for or put since the last turn are young.  When the young ones
+    fill half of the room, the old ones go and the young ones become old, so what
+    is frequent stays.  Very long entries aren't kept.
+    """
+
+    #: About what an entry takes besides its text and value.
+    ENTRY = 170
+    LONGEST = 2_048
+
+    def __init__(self, most_bytes: int):
+        self.half = most_bytes // 2
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.held = 0
+
+    def many(self, keys: list[str]) -> list:
+        """The values of keys, None where one isn't known."""
+        out = list(map(self.young.get, keys))
+        if self.old:
+            get = self.old.get
+            for i, value in enumerate(out):
+                if value is None and (value := get(keys[i])) is not None:
+                    out[i] = value
+                    self.put(keys[i], value, 8)
+        return out
+
+    def put(self, key: str, value, size: int) -> None:
+        """size: bytes of the value."""
+        if len(key) + size > self.LONGEST:
+            return
+        if self.held > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += self.ENTRY + len(key) + size
+
+
 def broadcast_bytes(spark: SparkSession, value: bytes, most: int = 64 << 20):
     """A broadcast of a value whose size is checked before."""
     if len(value) > most:

@@ -9,16 +9,18 @@ piece is written as its bytes, one token each.
 
 Distinct pre-tokens are put in a trie and walked depth first.  A node keeps the best
 score and count of its prefix, computed once however many pre-tokens share it; the
-terminal node's count is the pre-token's.  Counts are kept between batches, a bounded
-number in each Python worker.  No shuffle.
+terminal node's count is the pre-token's.  Counts are kept between batches, bounded in
+bytes in each Python worker.  No shuffle.
 
 Defined results: a null or empty text, or one of white space alone, counts 0.
+A very long text is read whole.  An empty table stays empty.
 Repeated rows are counted each.  A result column replaces one of the same name.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import pyarrow as pa
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import shared_vocabulary, vocabulary_path
-from .common import documents, text_slices
+from .common import Recent, documents, text_slices
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 
 
 class UnigramCounter:
-    def __init__(self, model: bytes, cache_entries: int = 400_000):
+    def __init__(self, model: bytes, cache_bytes: int = 64 << 20):
         import sentencepiece
 
         file = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -50,8 +52,7 @@ class UnigramCounter:
                 tails.setdefault(p[-2:], {1}).add(len(p))
         #: Of the last two characters: the lengths of the pieces that end so.
         self.reach = {t: tuple(sorted(s)) for t, s in tails.items()}
-        self.cache: dict[str, int] = {}
-        self.cache_entries = cache_entries
+        self.cache = Recent(cache_bytes)
 
     def single(self, char: str) -> tuple[float, int]:
         """Score and tokens of one character: a piece, or its bytes."""
@@ -88,21 +89,14 @@ class UnigramCounter:
         return out
 
     def count_texts(self, texts: list[str | None]) -> list[int]:
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
         chunks = [t.split() if t else [] for t in texts]
-        get = self.cache.get
-        found = [list(map(get, c)) for c in chunks]
-        open_ones = [i for i, f in enumerate(found) if None in f]
-        missing: set[str] = set()
-        for i in open_ones:
-            missing.update(c for c, f in zip(chunks[i], found[i], strict=True) if f is None)
-        if missing:
-            fresh = self.counts(missing)
-            for i in open_ones:
-                found[i] = [f if f is not None else fresh[c] for c, f in zip(chunks[i], found[i], strict=True)]
-            self.cache.update(fresh)
-        return [sum(f) for f in found]
+        distinct = list(set(itertools.chain.from_iterable(chunks)))
+        known = dict(zip(distinct, self.cache.many(distinct), strict=True))
+        fresh = self.counts([c for c in distinct if known[c] is None])
+        for c, n in fresh.items():
+            self.cache.put(c, n, 8)
+        known |= fresh
+        return [sum(map(known.__getitem__, c)) for c in chunks]
 
 
 @functools.lru_cache(maxsize=2)

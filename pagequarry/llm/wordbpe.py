@@ -15,14 +15,23 @@ kept.  The last symbol of a word carries the suffix and is a leaf of the trie.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import Recent
+
 #: Code points below this take the fast path, where Python's rules were compared with the library's.
 _FAST_END = 0x250
+#: Verdicts on pairs of tokens that are kept (some 100 bytes each).
+MOST_VERDICTS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -32,23 +41,29 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-class _Known(dict):
-    """Pieces and their ids; a piece that isn't known is noted and counts as empty for the moment."""
+def _spread(code: np.ndarray, size: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a pool that codes stand for, one after the other, and where each ends (0 first)."""
+    count = size[code]
+    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    return pool[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], count) + np.arange(ends[-1])], ends
+
 
-    def __init__(self):
-        super().__init__()
-        self.lost: list[str] = []
+def _listed(strings: pa.Array) -> list[str]:
+    """As to_pylist, by the quicker way through numpy."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
-    def __missing__(self, piece: str) -> bytes:
-        self.lost.append(piece)
-        return b""
+
+def _rows(lists: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """The ids of the entries of lists as one list a row."""
+    of_row = lists.offsets.to_numpy().astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends[of_row - of_row[0]].astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 class WordBpe:
-    """Encoder and decoder; `encode_texts` is what the operators call."""
+    """Encoder and decoder; `encode_column` and `decode_column` are what the operators call."""
 
-    def __init__(self, spec: str, cache_entries: int = 300_000, by_library: bool = False):
-        """by_library: words not met before are encoded by the tokenizers library itself, not by the trie."""
+    def __init__(self, spec: str, cache_bytes: int = 32 << 20, by_library: bool = False):
+        """by_library: words not met before are encoded by the library's model itself, not by the trie."""
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         data = json.loads(spec)
@@ -78,15 +93,18 @@ class WordBpe:
                 self.made_at[z], self.parts[z] = rank, (x, y)
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self.cache = _Known()
-        self.cache_entries = cache_entries
-        self.word_cache: dict[str, bytes] = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
+        self.cache = Recent(cache_bytes)
+        self._special_ids = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         library = Tokenizer.from_str(spec)
         library.no_padding()
         library.no_truncation()
-        self._library = library if by_library else None
+        self._model = Tokenizer(library.model) if by_library else None
+        ends = np.zeros(max(self.names) + 1, dtype=bool)
+        ends[[i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)]] = True
+        self._ends = ends
+        self._names = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
         self._normal = library.normalizer or normalizers.Sequence([])
         self._split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True)
         self._fast_rules(split["pattern"]["Regex"])
@@ -103,11 +121,15 @@ class WordBpe:
 
         letter, number, space = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
         same = {c for c in range(_FAST_END) if c in space or self._normal.normalize_str(chr(c)) == unicodedata.normalize("NFC", chr(c)).lower()}
-        safe = {c for c in same if (c in space) == (not chr(c).split()) and all(ord(x) < _FAST_END for x in chr(c).lower())}
+        lower = pc.utf8_lower(pa.array([chr(c) for c in range(_FAST_END)])).to_pylist()
+        parted = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{chr(c)}b" for c in range(_FAST_END)]))).to_pylist()
+        safe = {c for c in same if (c in space) == (not chr(c).split()) == (parted[c] == 2) and lower[c] == chr(c).lower() and all(ord(x) < _FAST_END for x in lower[c])}
         group = lambda s: "".join(f"\\u{c:04x}" for c in sorted(s))
         self._unsafe = re.compile(f"[^{group(safe)}]")
+        self._unsafe_arrow = "[^" + "".join(f"\\x{{{c:x}}}" for c in sorted(safe)) + "]"
         heads = [h for h in pattern.split("|") if re.fullmatch(r"'\w+", h)]
-        self._words = re.compile(f"[{group(letter)}]+|[{group(number)}]|{'|'.join(heads)}|[^\\s{group(letter | number)}]+")
+        self._words = re.compile(words := f"[{group(letter)}]+|[{group(number)}]|{'|'.join(heads)}|[^\\s{group(letter | number)}]+")
+        self._lined = re.compile(words + "|\n")
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text in order, special tokens among them."""
@@ -123,12 +145,6 @@ class WordBpe:
             return self._words.findall(text.lower())
         return [w for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(text))]
 
-    def _chunks(self, text: str) -> list[str]:
-        """Pieces between white space; no pre-token crosses white space, so each piece can be encoded alone."""
-        if not self._unsafe.search(text) and "<|" not in text:
-            return text.lower().split()
-        return self.words(text)
-
     # -- the trie
 
     def _merge(self, symbols: list[str]) -> list[str]:
@@ -179,8 +195,6 @@ class WordBpe:
                 limit, y = at_y + 1, parts[y][0]
             else:
                 break
-        if len(self._pairs) > 1_000_000:
-            self._pairs.clear()
         self._pairs[key] = apart
         return apart
 
@@ -193,6 +207,8 @@ class WordBpe:
         follow the last token of what precedes it.
         """
         letters, out = self.letters, {}
+        if len(self._pairs) > MOST_VERDICTS:
+            self._pairs.clear()
         vocab, pairs, whole, reach, sizes, suffix = self.vocab.get, self._pairs.get, self._whole.get, self.reach.get, self.symbols_of, self.suffix
         mapped = sorted([("".join([letters[b] for b in w.encode()]), w) for w in set(words) if w])
         path: list[int] = [0]
@@ -238,46 +254,84 @@ class WordBpe:
             before = word
         return out
 
-    def _by_library(self, words: set[str]) -> dict[str, bytes]:
-        listed = sorted(words)
-        found = self._library.encode_batch_fast(listed, add_special_tokens=False) if listed else []
-        return {w: array("i", e.ids).tobytes() for w, e in zip(listed, found, strict=True)}
+    def _by_model(self, words: list[str]) -> dict[str, bytes]:
+        """As encode_words, by the library's own model; a word's last token is the one that carries the suffix."""
+        letters, out = self.letters, {}
+        for at in range(0, len(words), 4_096):
+            some = words[at : at + 4_096]
+            mapped = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in some]
+            ids = np.array(self._model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.int32)
+            cut = [0, *(4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(cut)], strict=True))
+        return out
 
     # -- texts
 
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as 32-bit integers in bytes; null is empty.  Distinct pieces of the texts not met before go through the trie together."""
-        if len(self.cache) > self.cache_entries:
-            self.cache = _Known()
-        if len(self.word_cache) > self.cache_entries:
-            self.word_cache = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
-        cache = self.cache
-        known, lost = cache.__getitem__, cache.lost
-        chunks = [self._chunks(t) if t else [] for t in texts]
-        out, open_ones, before = [], [], 0
-        for i, c in enumerate(chunks):
-            out.append(b"".join(map(known, c)))
-            if len(lost) > before:  # something of this text wasn't known
-                before = len(lost)
-                open_ones.append(i)
-        if lost:
-            encoded = self.word_cache
-            pieces = {c: [c] if c in self.special else self._plain_words(c) for c in set(lost)}
-            lost.clear()
-            fresh = {w for ws in pieces.values() for w in ws if w not in encoded}
-            encoded.update(self._by_library(fresh) if self._library else self.encode_words(fresh))
-            cache.update({c: encoded[ws[0]] if len(ws) == 1 else b"".join([encoded[w] for w in ws]) for c, ws in pieces.items()})
-            for i in open_ones:
-                out[i] = b"".join(map(known, chunks[i]))
-        return out
-
-    def decode(self, ids) -> str:
-        """As the library's decode without a decoder: the tokens' texts joined by one space; unknown ids are left out."""
-        get = self.names.get
-        try:
-            return " ".join(map(get, ids))
-        except TypeError:
-            return " ".join([t for t in map(get, ids) if t is not None])
+    def _of_words(self, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words, and all their ids.  Words not met before go through the trie together; those that come often are kept."""
+        found = self.cache.many(words)
+        lost = [w for w, ids in zip(words, found, strict=True) if ids is None and w]
+        if lost or "" in words:
+            made = self._by_model(lost) if self._model else self.encode_words(lost)
+            made[""] = b""
+            for i in np.flatnonzero(often).tolist():
+                if found[i] is None:
+                    self.cache.put(words[i], made[words[i]], len(made[words[i]]))
+            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        if self.special:
+            found = [self._special_ids.get(w, ids) for w, ids in zip(words, found, strict=True)] if self._special_ids.keys() & words else found
+        return np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4, np.frombuffer(b"".join(found), dtype=np.int32)
+
+    def _of_lists(self, lists: pa.Array) -> pa.ListArray:
+        """The ids of lists of words."""
+        coded = lists.flatten().dictionary_encode()
+        words = _listed(coded.dictionary)
+        code = coded.indices.to_numpy()
+        ids, ends = _spread(code, *self._of_words(words, np.bincount(code, minlength=len(words)) > 1))
+        return _rows(lists, ids, ends)
+
+    def _of_plain(self, texts: pa.Array) -> pa.ListArray:
+        """Texts in which Arrow's and Python's rules are the library's.  No pre-token crosses white space, so distinct pieces between white space are split once."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        pieces, piece = _listed(coded.dictionary), coded.indices.to_numpy()
+        split = pa.array(self._lined.findall("\n".join(pieces)), pa.string()).dictionary_encode()
+        words, code = _listed(split.dictionary), split.indices.to_numpy()
+        lines = [i for i, w in enumerate(words) if w == "\n"]
+        for i in lines:
+            words[i] = ""
+        of_piece = np.cumsum(code == lines[0]) if lines else np.zeros(len(code), dtype=np.int64)
+        times = np.bincount(piece, minlength=len(pieces))
+        size, pool = self._of_words(words, np.bincount(code, weights=times[of_piece] if len(code) else None, minlength=len(words)) > 1)
+        ids, _ = _spread(code, size, pool)
+        sizes = np.bincount(of_piece, weights=size[code], minlength=len(pieces)).astype(np.int64)
+        return _rows(lists, *_spread(piece, sizes, ids))
+
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """For each text its ids as a list of 32-bit integers; null is empty."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.or_(pc.match_substring_regex(texts, self._unsafe_arrow), pc.match_substring(texts, "<|"))
+        if not len(texts) or not pc.any(odd).as_py():
+            return self._of_plain(texts)
+        rare = self._of_lists(pa.array([self.words(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string())))
+        mask = odd.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)]), kind="stable")
+        return pa.concat_arrays([self._of_plain(texts.filter(pc.invert(odd))), rare]).take(pa.array(order))
+
+    def decode_column(self, lists: pa.ListArray) -> pa.Array:
+        """As the library's decode without a decoder: the tokens' texts joined by one space; null lists are empty, null or unknown ids are left out."""
+        ids = lists.flatten()
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        known = ids.is_valid().to_numpy(zero_copy_only=False) if ids.null_count else np.ones(len(ids), dtype=bool)
+        value = pc.fill_null(ids, 0).to_numpy()
+        known &= (value >= 0) & (value < len(self._names))
+        names = self._names.take(pa.array(np.where(known, value, 0)))
+        if names.null_count or not known.all():
+            known &= names.is_valid().to_numpy(zero_copy_only=False)
+            names = names.filter(pa.array(known))
+            ends = np.concatenate([[0], np.cumsum(known)])[ends]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names), " ")
 
 
 @lru_cache(maxsize=2)

@@ -59,20 +59,59 @@ def test_token_store(spark, library, tmp_path):
     token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, shard_ids=300)
     found = token_store.read_tokens(spark, path).orderBy("start").collect()
     at = 0
-    for r, (key, t) in zip(found, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
-        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
-        assert (r.doc_id, r.start, r.ids) == (key, at, struct.pack(f"<{len(ids)}I", *ids))
-        at += len(ids)
+    packed = lambda t: struct.pack(f"<{n}I", *ids) if (n := len(ids := [*library.encode(t or "", add_special_tokens=False).ids, 1])) else b""
+    want = sorted([(key is not None, key or 0, packed(t)) for key, t in rows])
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in found) == want
+    keys = [r.doc_id for r in found]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    for r in found:
+        assert r.start == at
+        at += len(r.ids) // 4
     asked = token_store.lookup(spark, path, spark.createDataFrame([(5,), (-40,), (7_777,), (None,)], "doc_id long")).collect()
-    assert {r.doc_id: zlib.crc32(r.ids) for r in asked} == {r.doc_id: zlib.crc32(r.ids) for r in reversed(found) if r.doc_id in (5, -40)}
+    assert sorted((r.doc_id, r.ids) for r in asked) == sorted((r.doc_id, r.ids) for r in found if r.doc_id in (5, -40))
+
+
+def test_shard_reads_through_its_index():
+    keys = np.array([0, 3, 5, 5, 9])
+    known = np.array([False, True, True, True, True])
+    shard = token_store.Shard(token_store.pack_shard(keys, known, np.array([2, 1, 3, 1, 2]), np.arange(9)))
+    column, at, size = shard.documents()
+    assert (column.to_pylist(), at.tolist(), size.tolist()) == ([None, 3, 5, 5, 9], [0, 2, 3, 6, 7], [2, 1, 3, 1, 2])
+    assert [x.tolist() for x in shard.get(5)] == [[3, 4, 5], [6]] and shard.get(4) == []
+    shard.begins = shard.begins + np.uint64(1)  # a wrong index gives a wrong result
+    assert shard.documents()[1].tolist() != at.tolist()
+    shard.prints = shard.prints ^ np.uint32(1)
+    with pytest.raises(ValueError):
+        shard.documents()
+
+
+def test_op8_query(spark, library, tmp_path):
+    for texts in (made_up(40), []):
+        spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, start string").write.parquet(str(tmp_path / f"{len(texts)}/documents.parquet"))
+        rows = token_store.op8_token_store(spark, str(tmp_path / f"{len(texts)}")).orderBy("doc_id").collect()
+        at = 0
+        for r, t in zip(rows, texts, strict=True):
+            ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+            at += len(ids)
+
+
+def test_op4_query(spark, library, tmp_path):
+    texts = made_up(40)
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, token_ids string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in bpe.op4_bpe(spark, str(tmp_path)).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5_000).astype(np.uint64)
     slots = token_store.PerfectHash.of(keys).slots(np.unique(keys))
     assert sorted(slots) == list(range(len(np.unique(keys))))
-    shard = token_store.Shard(token_store.pack_shard([1, 2, 9], [b"\x01\0\0\0", b"", b"\x02\0\0\0\x03\0\0\0"]))
-    assert shard.get(9).tolist() == [2, 3] and shard.get(2).tolist() == [] and shard.get(4) is None
+    shard = token_store.Shard(token_store.pack_shard(np.array([1, 2, 9]), np.ones(3, dtype=bool), np.array([1, 0, 2]), np.array([1, 2, 3])))
+    assert [[x.tolist() for x in shard.get(k)] for k in (9, 2, 4)] == [[[2, 3]], [[]], []]
 
 
 def test_counts_are_those_of_plain_dynamic_programming(spark):
