@@ -87,6 +87,7 @@ def encode_and_decode(df: DataFrame, text: str = "text", ids: str = "token_ids",
                 found = c.encode_column(part)
                 out.append(pa.StructArray.from_arrays([found, c.decode_column(found)], ["ids", "text"]))
             yield _together(out, arrow)
+        c.forget()
         trim()
 
     both = df.withColumn("__coded", run(F.col(text).cast("string")))

@@ -67,14 +67,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    df.write.option("compression", "snappy").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Remove the files of written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:

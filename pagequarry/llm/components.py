@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = met.groupBy(F.col("old").alias("node")).agg(F.min("near").alias("hook"))
         hooked = written(met.join(hooks, "node", "left").select("node", "old", F.least("old", "near", "hook").alias("label")), "hooked")  # least skips nulls
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = written(hooked.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if not jumped.filter("label <> old").limit(1).count():
-            return labels
+        jumped = hooked.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
+        after = written(jumped.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
+        deleted(met, hooked, labels)
+        labels = after
+        if not labels.filter("moved").limit(1).count():
+            deleted(both)
+            return labels.select("node", "label")

@@ -18,16 +18,20 @@ A tile of more than TILE nodes compares its nodes with a few of its own size ban
 only; links found so far are joined to components.  Of the tiles that still hold
 several components, a second round compares each node with its likest partners of
 other components, by the bitmaps, and a third all pairs of different components that
-the bitmaps allow.  Pairs within a component needn't be compared, so no component is
-lost and no group costs its square.
+the bitmaps allow.  Both work on blocks of BLOCK nodes: a tile is cut by size band, a
+band by hash, and each block meets each other one of its band and the next in a task
+of its own.  The tile of a shingle that more than SPLIT entries hold is dealt over
+several tasks from the start.  Pairs within a component needn't be compared, so no
+component is lost and no group costs its square.
 
-Rows carry node keys, never texts; candidate pairs move with signatures of some
-hundred bytes, and the sets of surviving pairs alone are shuffled.
+Rows carry node keys, never texts; candidate pairs move as lists of one node's
+partners, then with signatures of some hundred bytes, and the sets of surviving pairs
+alone are shuffled.  Tables that no later step reads are deleted.
 
 Defined results: a null or empty text, or one without words, has no shingles and is
-its own component.  Rows with a null doc_id get no component of others: they are kept
+its own component.  A very long text is one set, read whole.  An empty table gives none.  Rows with a null doc_id get no component of others: they are kept
 and count as component null unless they equal a document with an id.  Repeated rows
-fall in one component.  Extra columns are ignored.
+fall in one component.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches, trim, written
+from .common import deleted, documents, small_batches, trim, written
 from .components import components
 from .decontam import SHINGLES_SQL
 from .shingles import shingle_sets
@@ -58,6 +62,10 @@ HOT_COUNT, MOST_HOT = 48, 500_000
 COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
 #: Prefix entries in a bucket of tiles.
 BUCKET_ENTRIES = 400_000
+#: Entries of one shingle beyond which its tile is dealt over several buckets.
+SPLIT = 200_000
+#: Nodes of a hot tile that are compared in one task with as many others.
+BLOCK = 2_048
 #: Needed nodes up to this number are broadcast (8 bytes each), more are joined by shuffle.
 BROADCAST_NODES = 500_000
 
@@ -141,13 +149,24 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def _prefixes(hot, buckets: int, percent: int):
-    """Maker of the tile entries: for each bucket of hashes a blob of (shingle, node, size) columns."""
+def _planes(values: np.ndarray) -> bytes:
+    """An array by planes of bytes, so that compression finds the empty ones."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(blob: bytes, kind: str, count: int, offset: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, count * size, offset).reshape(size, count).T).view(kind).ravel()
+
+
+def _prefixes(hot, buckets: int, percent: int, split: int):
+    """Maker of the tile entries: for each bucket of hashes a blob of (32 bits of the shingle, node, size) columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.frombuffer(hot.value, dtype=np.uint64)  # in ascending order of count
+        common, counts = hot.value  # in ascending order of count
         by_hash = np.argsort(common, kind="stable")
         ordered = common[by_hash]
+        parts_of = np.maximum(-(-counts // split), 1)[by_hash]
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for node, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -164,21 +183,27 @@ def _prefixes(hot, buckets: int, percent: int):
                     prefix = found[:take]
                 keys.append(prefix)
                 nodes.append(np.full(len(prefix), node, dtype=np.int64))
-                sizes.append(np.full(len(prefix), size, dtype=np.int32))
+                sizes.append(np.full(len(prefix), size, dtype=np.uint32))
             if not keys:
                 continue
             k, v, n = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-            bucket = (k >> np.uint64(32)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            bucket = (k >> np.uint64(32)).astype(np.int64)
+            if len(ordered) and parts_of.max() > 1:
+                at = np.minimum(np.searchsorted(ordered, k), len(ordered) - 1)
+                parts = np.where(ordered[at] == k, parts_of[at], 1)
+                bucket += v.view(np.uint64).astype(np.int64) % parts
+            bucket %= buckets
+            low = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.lexsort((v, bucket))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out_bucket, out = [], []
             for b in range(buckets):
                 o = order[cut[b] : cut[b + 1]]
                 if len(o):
                     out_bucket.append(b)
-                    out.append(k[o].tobytes() + v[o].tobytes() + n[o].tobytes())
+                    out.append(low[o].tobytes() + v[o].tobytes() + _planes(n[o]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out, pa.binary())], ["bucket", "blob"])
-            trim()
+        trim()
 
     return run
 
@@ -186,41 +211,43 @@ def _prefixes(hot, buckets: int, percent: int):
 def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, v, n = [], [], []
     for blob in blobs:
-        c = len(blob) // 20
-        k.append(np.frombuffer(blob, dtype=np.uint64, count=c))
-        v.append(np.frombuffer(blob, dtype=np.int64, count=c, offset=8 * c))
-        n.append(np.frombuffer(blob, dtype=np.int32, count=c, offset=16 * c))
+        c = len(blob) // 16
+        k.append(np.frombuffer(blob, dtype=np.uint32, count=c))
+        v.append(np.frombuffer(blob, dtype=np.int64, count=c, offset=4 * c))
+        n.append(_unplaned(blob, "<u4", c, 12 * c))
     return np.concatenate(k), np.concatenate(v), np.concatenate(n).astype(np.int64)
 
 
-def _tile_pairs(blobs: list[bytes], percent: int) -> pa.RecordBatch:
-    """Candidate pairs of a bucket's tiles, and the entries of hot tiles for the second round (b null)."""
+def _tile_pairs(blobs: list[bytes], percent: int, dealt: np.ndarray, tile: int) -> pa.RecordBatch:
+    """Candidate pairs of a bucket's tiles as lists of partners, and the entries of hot tiles for the second round (partners null).  dealt: shingles whose tiles are in several buckets."""
     k, v, n = _entries(blobs)
     order = np.lexsort((v, n, k))
     k, v, n = k[order], v[order], n[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
     k, v, n = k[new], v[new], n[new]
-    _, first, inverse, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+    marks, first, inverse, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+    count[np.isin(marks, dealt)] += tile  # hot wherever it is, however few are here
     size = count[inverse]
+    count[np.isin(marks, dealt)] -= tile
     lefts, rights, star_a, star_b = [], [], [], []
-    keep = np.flatnonzero((size > 1) & (size <= TILE))
+    keep = np.flatnonzero((size > 1) & (size <= tile))
     kk, nn = k[keep], n[keep]
-    for step in range(1, TILE):
+    for step in range(1, tile):
         same = kk[step:] == kk[:-step]
         if step >= len(kk) or not same.any():
             break
         at = np.flatnonzero(same & (percent * nn[step:] <= 100 * nn[:-step]))
         lefts.append(keep[at])
         rights.append(keep[at + step])
-    for g in np.flatnonzero(count > TILE):
+    for g in np.flatnonzero(size[first] > tile):
         base, sizes = first[g], n[first[g] : first[g] + count[g]]
         # Size bands of a factor 1.15; each node meets one of its own band and one of the band below.
         band = np.floor(np.log(sizes) / np.log(1.15)).astype(np.int64)
-        marks, starts, counts = np.unique(band, return_index=True, return_counts=True)
-        turn = int(k[base] & np.uint64(3))
+        bands, starts, counts = np.unique(band, return_index=True, return_counts=True)
+        turn = int(k[base] & 3)
         chosen = starts + turn * counts // 4
-        own = np.searchsorted(marks, band)
+        own = np.searchsorted(bands, band)
         for below in (0, 1):
             b = own - below
             rep = chosen[np.maximum(b, 0)]
@@ -245,95 +272,151 @@ def _tile_pairs(blobs: list[bytes], percent: int) -> pa.RecordBatch:
 
     met = pairs_of(np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.int64), np.concatenate(rights) if rights else np.zeros(0, dtype=np.int64), 1)
     stars = pairs_of(np.concatenate(star_a) if star_a else np.zeros(0, dtype=np.int64), np.concatenate(star_b) if star_b else np.zeros(0, dtype=np.int64), CERTAIN)
-    pairs = np.concatenate([met, stars], axis=1)
-    hot = np.flatnonzero(size > TILE)
-    columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(v[hot])])]
-    columns += [pa.concat_arrays([pa.array(pairs[i]), pa.nulls(len(hot), pa.int64())]) for i in range(1, 5)]
-    columns.append(pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(k[hot].view(np.int64))]))
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "shared", "tile"])
+    a, b, na, nb, times = np.concatenate([met, stars], axis=1)
+    order = np.argsort(a, kind="stable")
+    a, b, na, nb, times = a[order], b[order], na[order], nb[order], times[order]
+    start = np.flatnonzero(np.diff(a, prepend=a[0] - 1)) if len(a) else np.zeros(0, dtype=np.int64)
+    lists = [_planes(b[i:j]) + _planes(nb[i:j].astype("<u4")) + _planes(times[i:j].astype("<u4")) for i, j in zip(start, np.append(start[1:], len(a))[: len(start)], strict=True)]
+    hot = np.flatnonzero(size > tile)
+    columns = [
+        pa.concat_arrays([pa.array(a[start]), pa.array(v[hot])]),
+        pa.concat_arrays([pa.array(na[start]), pa.nulls(len(hot), pa.int64())]),
+        pa.concat_arrays([pa.array(lists, pa.binary()), pa.nulls(len(hot), pa.binary())]),
+        pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(k[hot].astype(np.int64))]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["a", "na", "partners", "tile"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, na, nb, shared of the lists of partners, sorted by a."""
+    held, now, size = [], None, 0
+
+    def told() -> pa.RecordBatch:
+        column = lambda kind, at: np.concatenate([_unplaned(p, kind, len(p) // 16, at * (len(p) // 16)) for p in held])
+        b, nb, times = column("<i8", 0), column("<u4", 8), column("<u4", 12)
+        distinct, first, inverse = np.unique(b, return_index=True, return_inverse=True)
+        shared = np.bincount(inverse, weights=times).astype(np.int64)
+        same = lambda x: np.full(len(distinct), x, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (same(now), distinct, same(size), nb[first].astype(np.int64), shared)], ["a", "b", "na", "nb", "shared"])
+
+    for batch in batches:
+        for a, na, partners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if a != now and held:
+                yield told()
+                held = []
+            now, size = a, na
+            held.append(partners.as_py())
+    if held:
+        yield told()
+    trim()
 
 
-def _tiles(percent: int):
+def _tiles(hot, percent: int, split: int, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
+        common, counts = hot.value
+        dealt = (common[counts > split] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now and held:
-                    yield _tile_pairs(held, percent)
+                    yield _tile_pairs(held, percent, dealt, tile)
                     held = []
-                    trim()
                 now = bucket
                 held.append(blob.as_py())
         if held:
-            yield _tile_pairs(held, percent)
+            yield _tile_pairs(held, percent, dealt, tile)
+        trim()
 
     return run
 
 
 def _hot_pairs(percent: int, most: int | None):
-    """In each hot tile, pairs of different labels whose bitmaps allow a link: the `most` likest of each active node, or all.
+    """Pairs of different labels whose bitmaps allow a link, in each block of a hot tile's band: the `most` likest of each active node, or all.
 
-    Input: tile, node, n, label, bits, active, tiles, sorted by tile.  A pair that
-    shares several tiles is told in the first of them.
+    Input: tile, band, i, j, node, n, label, bits, own, block, active, tiles, sorted
+    by the first four.  Rows of the band below meet those of the own band only, and,
+    where i and j differ, one block the other.  A pair that shares several tiles is
+    told in the first of them.
     """
 
-    def of(rows: list[tuple], tile: int) -> tuple[list, list]:
+    def of(rows: list[tuple], tile: int, apart: bool) -> tuple[list, list]:
         rows.sort(key=lambda r: (r[1], r[0]))
-        node, n, label = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-        active = np.array([r[4] for r in rows], dtype=bool)
+        node, n, label, block = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2, 5))
+        own, active = (np.array([r[i] for r in rows], dtype=bool) for i in (4, 6))
         width = np.array([len(r[3]) for r in rows])
         stacks = {w: np.frombuffer(b"".join(r[3] for r in rows if len(r[3]) == w), dtype=np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
         row = np.zeros(len(rows), dtype=np.int64)  # place within the stack of its width
         for w in stacks:
             row[width == w] = np.arange(int((width == w).sum()))
         lefts, rights = [], []
-        for i in np.flatnonzero(active):
+        for x in np.flatnonzero(active):
             # All partners of nodes with a limit; each pair once without.
-            start = int(np.searchsorted(100 * n, percent * n[i], side="left")) if most else i + 1
-            end = int(np.searchsorted(percent * n, 100 * n[i], side="right"))
-            at = np.flatnonzero(label[start:end] != label[i]) + start
+            start = int(np.searchsorted(100 * n, percent * n[x], side="left")) if most else x + 1
+            end = int(np.searchsorted(percent * n, 100 * n[x], side="right"))
+            near = slice(start, end)
+            meet = (label[near] != label[x]) & (own[near] | own[x])
+            if apart:
+                meet &= block[near] != block[x]
+            at = np.flatnonzero(meet) + start
             if not len(at):
                 continue
             good, unlike = [], []
             for w, stack in stacks.items():
                 same = at[width[at] == w]
-                own = stacks[width[i]][row[i]]
-                cells = min(len(own), stack.shape[1])
-                differ = np.bitwise_count(_fold(stack[row[same]], cells) ^ _fold(own, cells)).sum(axis=1).astype(np.int64)
-                ok = (n[i] + n[same] - differ) // 2 >= _need(n[i], n[same])
+                mine = stacks[width[x]][row[x]]
+                cells = min(len(mine), stack.shape[1])
+                differ = np.bitwise_count(_fold(stack[row[same]], cells) ^ _fold(mine, cells)).sum(axis=1).astype(np.int64)
+                ok = (n[x] + n[same] - differ) // 2 >= _need(n[x], n[same])
                 good.append(same[ok])
                 unlike.append(differ[ok])
             good, unlike = np.concatenate(good), np.concatenate(unlike)
             if most:
                 good = good[np.lexsort((node[good], unlike))[:most]]
             else:
-                own_tiles = set(rows[i][5])
-                good = np.array([j for j in good if min(own_tiles.intersection(rows[j][5])) == tile], dtype=np.int64)
-            lefts += np.minimum(node[i], node[good]).tolist()
-            rights += np.maximum(node[i], node[good]).tolist()
+                mine = set(rows[x][7])
+                good = np.array([y for y in good if min(mine.intersection(rows[y][7])) == tile], dtype=np.int64)
+            lefts += np.minimum(node[x], node[good]).tolist()
+            rights += np.maximum(node[x], node[good]).tolist()
         return lefts, rights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def made():
-            a, b = of(held, now)
+            a, b = of(held, now[0], now[2] != now[3])
             pairs = sorted(set(zip(a, b, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for tile, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if tile != now and held:
+            for tile, band, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (tile, band, i, j) != now and held:
                     yield made()
                     held = []
-                now = tile
+                now = (tile, band, i, j)
                 held.append(tuple(row))
         if held:
             yield made()
+        trim()
 
     return run
 
 
+def _blocks(entries: DataFrame, percent: int, across: bool, block: int) -> DataFrame:
+    """Entries of hot tiles (tile, node, n_shingles, ...) dealt to blocks: band, i, j, own, block.
+
+    Linked sizes are in one band or in neighbouring ones, so a node goes to its own
+    band and the one above.  Of a band's blocks each meets itself, and with `across`
+    each other one.
+    """
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + F.lit(1e-9))
+    sides = entries.withColumn("low", band).withColumn("band", F.explode(F.array(F.col("low"), F.col("low") + 1))).withColumn("own", F.col("low") == F.col("band")).drop("low")
+    counts = sides.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"), F.max("own").alias("any")).filter("any").drop("any")
+    dealt = sides.join(counts, ["tile", "band"]).withColumn("block", F.expr("pmod(xxhash64(node), parts)"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if across else F.col("block")
+    dealt = dealt.withColumn("__other", other)
+    return dealt.withColumn("i", F.least("block", "__other")).withColumn("j", F.greatest("block", "__other")).drop("__other", "parts")
+
+
 def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b, slack: pairs whose bitmaps allow a link, and by how much."""
 
@@ -380,7 +463,7 @@ def _met_enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     hot = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
     if hot.count() <= BROADCAST_NODES:
         hot = F.broadcast(hot)
-    pairs = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long, na long, nb long, shared long")
     pairs = pairs.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("ha")), "a", "left").join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hb")), "b", "left")
     need = f"ceil({percent} * (na + nb) / {100 + percent})"
     prefix = lambda n: f"({n} - ceil({percent} * {n} / 100) + 1)"
@@ -400,10 +483,21 @@ def _mixed_tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     named = crowded.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
     named = written(named, "hot")
     mixed = named.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tile")
-    return written(named.join(mixed, "tile", "left_semi"), "mixed")
+    out = written(named.join(mixed, "tile", "left_semi"), "mixed")
+    deleted(named)
+    return out
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Labels after the links among more pairs."""
+    links = written(_links(pairs, nodes), "links")
+    if links.limit(1).count():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+    deleted(links)
+    return labels
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, tile: int = TILE, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """-> doc_id, n_shingles, component_id for each row: the least doc_id reachable by links of percent or more."""
     spark = df.sparkSession
     small_batches(spark)
@@ -412,47 +506,48 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     total = nodes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1).alias("n")).first().n or 0
 
     common = nodes.select("hashes").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    hot = common.filter(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas()  # at most MOST_HOT rows
-    hot = spark.sparkContext.broadcast(hot["shingle"].to_numpy(dtype=np.int64)[::-1].tobytes())
+    hot = common.filter(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas()[::-1]  # at most MOST_HOT rows
+    hot = spark.sparkContext.broadcast((hot["shingle"].to_numpy(dtype=np.int64).view(np.uint64), hot["n"].to_numpy(dtype=np.int64)))
 
     buckets = int(total // BUCKET_ENTRIES) + 16
-    blobs = nodes.select("node", "n_shingles", "hashes").mapInArrow(_prefixes(hot, buckets, percent), "bucket long, blob binary")
-    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(percent), "a long, b long, na long, nb long, shared long, tile long")
+    blobs = nodes.select("node", "n_shingles", "hashes").mapInArrow(_prefixes(hot, buckets, percent, split), "bucket long, blob binary")
+    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(hot, percent, split, tile), "a long, na long, partners binary, tile long")
     tiled = written(tiled, "tiles")
-    signed = nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"])
-    crowded = tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct()
-    pairs = written(_allowed(_met_enough(tiled.filter(F.col("b").isNotNull()), crowded, percent), signed), "pairs")
+    signed = written(nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"]), "signed")
+    crowded = written(tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct(), "crowded")
+    pairs = written(_allowed(_met_enough(tiled.filter(F.col("partners").isNotNull()).select("a", "na", "partners"), crowded, percent), signed), "pairs")
+    deleted(tiled)
     # Of a group of alike texts first the pairs with each node's least and likest partners, then those that still part components.
     few = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    few = few.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))).distinct()
-    links = written(_links(written(few, "pairs"), nodes), "links")
+    few = written(few.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))).distinct(), "few")
+    links = written(_links(few, nodes), "links")
     labels = components(links)
-    parted = _parted(pairs, labels).join(few, ["a", "b"], "left_anti")
-    parted = written(parted.select("a", "b"), "pairs")
+    deleted(links)
+    parted = written(_parted(pairs, labels).join(few, ["a", "b"], "left_anti").select("a", "b"), "parted")
     if parted.limit(1).count():
-        late = written(_links(parted, nodes), "links")
-        if late.limit(1).count():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
+        labels = _joined(labels, parted, nodes)
+    deleted(parted, few)
 
-    pairs = pairs.select("a", "b")
-    tested = pairs
+    tested = pairs.select("a", "b")
     for most in (LIKEST, None):
         mixed = _mixed_tiles(crowded, labels)
         if not mixed.limit(1).count():
             break
         if most:  # each node is active in one of its tiles
             first = mixed.groupBy("node").agg(F.min("tile").alias("tile")).withColumn("active", F.lit(True))
-            mixed = mixed.join(first, ["tile", "node"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+            entries = mixed.join(first, ["tile", "node"], "left").withColumns({"active": F.coalesce("active", F.lit(False)), "tiles": F.lit(None).cast("array<long>")})
         else:
-            mixed = mixed.withColumn("active", F.lit(True))
-        own = mixed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # a node's own hot prefix shingles
-        entries = mixed.join(signed, "node").join(own, "node").select("tile", "node", "n_shingles", "label", "bits", "active", "tiles")
-        more = entries.repartition("tile").sortWithinPartitions("tile").mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
+            own = mixed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # a node's own hot prefix shingles
+            entries = mixed.join(own, "node").withColumn("active", F.lit(True))
+        entries = _blocks(entries.join(signed, "node"), percent, across=most is None, block=block)
+        entries = entries.select("tile", "band", "i", "j", "node", "n_shingles", "label", "bits", "own", "block", "active", "tiles")
+        groups = entries.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j")
+        more = groups.mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(more)
-        late = written(_links(more, nodes), "links")
-        if late.limit(1).count():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
+        labels = _joined(labels, more, nodes)
+        deleted(mixed)
+    deleted(crowded, signed, pairs)
 
     sets = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

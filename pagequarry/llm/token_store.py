@@ -207,6 +207,7 @@ def _packer(shared, end_id: int, shard_ids: int):
                     a = b
         if held:
             yield closed()
+        code.forget()
         trim()
 
     return run

@@ -319,6 +319,11 @@ class WordBpe:
         order = np.argsort(np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)]), kind="stable")
         return pa.concat_arrays([self._of_plain(texts.filter(pc.invert(odd))), rare]).take(pa.array(order))
 
+    def forget(self) -> None:
+        """Drop what was learnt of words, so that an idle worker holds the vocabulary alone."""
+        self.cache = Recent(self.cache.half * 2)
+        self._pairs.clear()
+
     def decode_column(self, lists: pa.ListArray) -> pa.Array:
         """As the library's decode without a decoder: the tokens' texts joined by one space; null lists are empty, null or unknown ids are left out."""
         ids = lists.flatten()

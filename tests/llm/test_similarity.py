@@ -57,7 +57,6 @@ def test_bitmaps_bound_the_overlap():
 
 def test_components_with_hot_tiles_equal_brute_force(spark, monkeypatch):
     """Small tiles, so that a group of near copies and a common line are hot."""
-    monkeypatch.setattr(jaccard_join, "TILE", 8)
     monkeypatch.setattr(jaccard_join, "HOT_COUNT", 6)
     monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 2_000)
     rnd = random.Random(4)
@@ -72,10 +71,11 @@ def test_components_with_hot_tiles_equal_brute_force(spark, monkeypatch):
     texts += [line + " " + " ".join(f"y{rnd.randrange(10**6)}" for _ in range(rnd.randint(3, 40))) for _ in range(80)]
     texts += [line] * 10 + ["", None, "a b", "A  b", "c"] * 3
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
     sets = [brute_set(t) for t in texts]
     want = least_reachable(sets)
-    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+    for sizes in ({}, {"tile": 8}, {"tile": 8, "block": 16}, {"tile": 4, "split": 12, "block": 8}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, **sizes).collect()}
+        assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}, sizes
 
 
 def test_components_of_a_long_shuffled_chain(spark):
