@@ -24,9 +24,8 @@ of its own.  The tile of a shingle that more than SPLIT entries hold is dealt ov
 several tasks from the start.  Pairs within a component needn't be compared, so no
 component is lost and no group costs its square.
 
-Rows carry node keys, never texts; candidate pairs move as lists of one node's
-partners, then with signatures of some hundred bytes, and the sets of surviving pairs
-alone are shuffled.  Tables that no later step reads are deleted.
+Rows carry node keys, never texts; candidate pairs move with signatures of some
+hundred bytes, and the sets of surviving pairs alone are shuffled.  Tables that no later step reads are deleted.
 
 Defined results: a null or empty text, or one without words, has no shingles and is
 its own component.  A very long text is one set, read whole.  An empty table gives none.  Rows with a null doc_id get no component of others: they are kept
@@ -58,8 +57,8 @@ CERTAIN = 1 << 20
 LIKEST = 6
 #: A shingle counted this often comes last in the order; at most MOST_HOT of them do (8 MB broadcast).
 HOT_COUNT, MOST_HOT = 48, 500_000
-#: Shingles counted together in a task, and how often one must occur there to be told.
-COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
+#: Shingles counted together in a task (64 MB), and how often one must occur there to be told.
+COUNT_CHUNK, COUNT_LEAST = 8_000_000, 3
 #: Prefix entries in a bucket of tiles.
 BUCKET_ENTRIES = 400_000
 #: Entries of one shingle beyond which its tile is dealt over several buckets.
@@ -133,20 +132,25 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that occur COUNT_LEAST times or more among some millions, with their counts."""
     held, n = [], 0
 
-    def told() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= COUNT_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
+    def told() -> Iterator[pa.RecordBatch]:
+        together = np.concatenate(held)
+        held.clear()
+        part = (together >> np.uint64(60)).astype(np.uint8)
+        for k in range(16):  # a sixteenth of the hashes at a time, for the memory of sorting
+            values, counts = np.unique(together[part == k], return_counts=True)
+            keep = counts >= COUNT_LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
 
     for batch in batches:
         for raw in batch.column(0):
             held.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
             n += len(held[-1])
             if n >= COUNT_CHUNK:
-                yield told()
-                held, n = [], 0
+                yield from told()
+                n = 0
     if held:
-        yield told()
+        yield from told()
+    trim()
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -219,7 +223,7 @@ def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tile_pairs(blobs: list[bytes], percent: int, dealt: np.ndarray, tile: int) -> pa.RecordBatch:
-    """Candidate pairs of a bucket's tiles as lists of partners, and the entries of hot tiles for the second round (partners null).  dealt: shingles whose tiles are in several buckets."""
+    """Candidate pairs of a bucket's tiles, and the entries of hot tiles for the second round (b null).  dealt: shingles whose tiles are in several buckets."""
     k, v, n = _entries(blobs)
     order = np.lexsort((v, n, k))
     k, v, n = k[order], v[order], n[order]
@@ -272,43 +276,13 @@ def _tile_pairs(blobs: list[bytes], percent: int, dealt: np.ndarray, tile: int)
 
     met = pairs_of(np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.int64), np.concatenate(rights) if rights else np.zeros(0, dtype=np.int64), 1)
     stars = pairs_of(np.concatenate(star_a) if star_a else np.zeros(0, dtype=np.int64), np.concatenate(star_b) if star_b else np.zeros(0, dtype=np.int64), CERTAIN)
-    a, b, na, nb, times = np.concatenate([met, stars], axis=1)
-    order = np.argsort(a, kind="stable")
-    a, b, na, nb, times = a[order], b[order], na[order], nb[order], times[order]
-    start = np.flatnonzero(np.diff(a, prepend=a[0] - 1)) if len(a) else np.zeros(0, dtype=np.int64)
-    lists = [_planes(b[i:j]) + _planes(nb[i:j].astype("<u4")) + _planes(times[i:j].astype("<u4")) for i, j in zip(start, np.append(start[1:], len(a))[: len(start)], strict=True)]
+    pairs = np.concatenate([met, stars], axis=1)
     hot = np.flatnonzero(size > tile)
-    columns = [
-        pa.concat_arrays([pa.array(a[start]), pa.array(v[hot])]),
-        pa.concat_arrays([pa.array(na[start]), pa.nulls(len(hot), pa.int64())]),
-        pa.concat_arrays([pa.array(lists, pa.binary()), pa.nulls(len(hot), pa.binary())]),
-        pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(k[hot].astype(np.int64))]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["a", "na", "partners", "tile"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, na, nb, shared of the lists of partners, sorted by a."""
-    held, now, size = [], None, 0
-
-    def told() -> pa.RecordBatch:
-        column = lambda kind, at: np.concatenate([_unplaned(p, kind, len(p) // 16, at * (len(p) // 16)) for p in held])
-        b, nb, times = column("<i8", 0), column("<u4", 8), column("<u4", 12)
-        distinct, first, inverse = np.unique(b, return_index=True, return_inverse=True)
-        shared = np.bincount(inverse, weights=times).astype(np.int64)
-        same = lambda x: np.full(len(distinct), x, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (same(now), distinct, same(size), nb[first].astype(np.int64), shared)], ["a", "b", "na", "nb", "shared"])
-
-    for batch in batches:
-        for a, na, partners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if a != now and held:
-                yield told()
-                held = []
-            now, size = a, na
-            held.append(partners.as_py())
-    if held:
-        yield told()
-    trim()
+    columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(v[hot])]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(hot), pa.int64())])]
+    columns.append(pa.concat_arrays([pa.array(pairs[2]), pa.array(n[hot])]))
+    columns += [pa.concat_arrays([pa.array(pairs[i]), pa.nulls(len(hot), pa.int64())]) for i in (3, 4)]
+    columns.append(pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(k[hot].astype(np.int64))]))
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "shared", "tile"])
 
 
 def _tiles(hot, percent: int, split: int, tile: int):
@@ -331,10 +305,10 @@ def _tiles(hot, percent: int, split: int, tile: int):
 
 
 def _hot_pairs(percent: int, most: int | None):
-    """Pairs of different labels whose bitmaps allow a link, in each block of a hot tile's band: the `most` likest of each active node, or all.
+    """Pairs of different labels whose bitmaps allow a link, in each block of a hot tile's band: the `most` likest of each node, or all.
 
-    Input: tile, band, i, j, node, n, label, bits, own, block, active, tiles, sorted
-    by the first four.  Rows of the band below meet those of the own band only, and,
+    Input: tile, band, i, j, node, n, label, bits, own, block, tiles, sorted by the
+    first four.  Rows of the band below meet those of the own band only, and,
     where i and j differ, one block the other.  A pair that shares several tiles is
     told in the first of them.
     """
@@ -342,14 +316,14 @@ def _hot_pairs(percent: int, most: int | None):
     def of(rows: list[tuple], tile: int, apart: bool) -> tuple[list, list]:
         rows.sort(key=lambda r: (r[1], r[0]))
         node, n, label, block = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2, 5))
-        own, active = (np.array([r[i] for r in rows], dtype=bool) for i in (4, 6))
+        own = np.array([r[4] for r in rows], dtype=bool)
         width = np.array([len(r[3]) for r in rows])
         stacks = {w: np.frombuffer(b"".join(r[3] for r in rows if len(r[3]) == w), dtype=np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
         row = np.zeros(len(rows), dtype=np.int64)  # place within the stack of its width
         for w in stacks:
             row[width == w] = np.arange(int((width == w).sum()))
         lefts, rights = [], []
-        for x in np.flatnonzero(active):
+        for x in range(len(rows)):
             # All partners of nodes with a limit; each pair once without.
             start = int(np.searchsorted(100 * n, percent * n[x], side="left")) if most else x + 1
             end = int(np.searchsorted(percent * n, 100 * n[x], side="right"))
@@ -373,8 +347,8 @@ def _hot_pairs(percent: int, most: int | None):
             if most:
                 good = good[np.lexsort((node[good], unlike))[:most]]
             else:
-                mine = set(rows[x][7])
-                good = np.array([y for y in good if min(mine.intersection(rows[y][7])) == tile], dtype=np.int64)
+                mine = set(rows[x][6])
+                good = np.array([y for y in good if min(mine.intersection(rows[y][6])) == tile], dtype=np.int64)
             lefts += np.minimum(node[x], node[good]).tolist()
             rights += np.maximum(node[x], node[good]).tolist()
         return lefts, rights
@@ -383,7 +357,7 @@ def _hot_pairs(percent: int, most: int | None):
         held, now = [], None
 
         def made():
-            a, b = of(held, now[0], now[2] != now[3])
+            a, b = of(held, now[0] - (1 << 31), now[2] != now[3])  # tiles are listed as 32-bit integers
             pairs = sorted(set(zip(a, b, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -411,6 +385,8 @@ def _blocks(entries: DataFrame, percent: int, across: bool, block: int) -> DataF
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + F.lit(1e-9))
     sides = entries.withColumn("low", band).withColumn("band", F.explode(F.array(F.col("low"), F.col("low") + 1))).withColumn("own", F.col("low") == F.col("band")).drop("low")
     counts = sides.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"), F.max("own").alias("any")).filter("any").drop("any")
+    if counts.filter("parts > 1").limit(1).count() == 0:  # no band is over one block
+        return sides.join(counts.select("tile", "band"), ["tile", "band"], "left_semi").withColumns({"block": F.lit(0).cast("long"), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
     dealt = sides.join(counts, ["tile", "band"]).withColumn("block", F.expr("pmod(xxhash64(node), parts)"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if across else F.col("block")
     dealt = dealt.withColumn("__other", other)
@@ -430,6 +406,14 @@ def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", spare("xa", "xb", "na", "nb").alias("slack")).filter("slack >= 0")
 
 
+def _among(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of needed nodes; few enough of these are broadcast."""
+    needed = needed.select("node").distinct()
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)
+    return rows.join(needed, "node", "left_semi")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sets link, by exact intersection of the sorted arrays.  Only the sets of pairs' nodes are shuffled."""
 
@@ -444,10 +428,8 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             out.append(overlap >= _need(len(x), len(y)))
         return pa.array(out, pa.bool_())
 
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    if needed.count() <= BROADCAST_NODES:
-        needed = F.broadcast(needed)
-    sets = nodes.select("node", "hashes").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = _among(nodes.select("node", "hashes"), needed).dropDuplicates(["node"])
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("xb"))
     return pairs.join(a, "a").join(b, "b").filter(linked("xa", "xb")).select("a", "b")
@@ -463,7 +445,7 @@ def _met_enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     hot = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
     if hot.count() <= BROADCAST_NODES:
         hot = F.broadcast(hot)
-    pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long, na long, nb long, shared long")
+    pairs = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     pairs = pairs.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("ha")), "a", "left").join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hb")), "b", "left")
     need = f"ceil({percent} * (na + nb) / {100 + percent})"
     prefix = lambda n: f"({n} - ceil({percent} * {n} / 100) + 1)"
@@ -479,8 +461,8 @@ def _parted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed_tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """tile, node, label of the hot tiles that hold more than one component."""
-    named = crowded.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
+    """tile, node, n_shingles, label of the hot tiles that hold more than one component."""
+    named = crowded.join(labels, "node", "left").select("tile", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
     named = written(named, "hot")
     mixed = named.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tile")
     out = written(named.join(mixed, "tile", "left_semi"), "mixed")
@@ -503,19 +485,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     small_batches(spark)
     rows = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_node_rows, _NODE_SCHEMA), "nodes")
     nodes = rows.filter(F.col("hashes").isNotNull()).select("node", "n_shingles", "bits", "hashes")
-    total = nodes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1).alias("n")).first().n or 0
+    total, counted = (x or 0 for x in nodes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1), F.sum("n_shingles")).first())
 
-    common = nodes.select("hashes").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    # Counted in pieces as large as memory allows, as a shingle that is spread over many small ones would be missed.
+    pieces = max(int(counted // COUNT_CHUNK) + 1, spark.sparkContext.defaultParallelism)
+    common = nodes.select("hashes").coalesce(pieces).mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     hot = common.filter(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas()[::-1]  # at most MOST_HOT rows
     hot = spark.sparkContext.broadcast((hot["shingle"].to_numpy(dtype=np.int64).view(np.uint64), hot["n"].to_numpy(dtype=np.int64)))
 
     buckets = int(total // BUCKET_ENTRIES) + 16
     blobs = nodes.select("node", "n_shingles", "hashes").mapInArrow(_prefixes(hot, buckets, percent, split), "bucket long, blob binary")
-    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(hot, percent, split, tile), "a long, na long, partners binary, tile long")
+    tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(hot, percent, split, tile), "a long, b long, na long, nb long, shared long, tile long")
     tiled = written(tiled, "tiles")
     signed = written(nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"]), "signed")
-    crowded = written(tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node")).distinct(), "crowded")
-    pairs = written(_allowed(_met_enough(tiled.filter(F.col("partners").isNotNull()).select("a", "na", "partners"), crowded, percent), signed), "pairs")
+    crowded = written(tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node"), F.col("na").alias("n_shingles")).distinct(), "crowded")
+    pairs = written(_allowed(_met_enough(tiled.filter(F.col("b").isNotNull()), crowded, percent), signed), "pairs")
     deleted(tiled)
     # Of a group of alike texts first the pairs with each node's least and likest partners, then those that still part components.
     few = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -533,14 +517,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         mixed = _mixed_tiles(crowded, labels)
         if not mixed.limit(1).count():
             break
-        if most:  # each node is active in one of its tiles
-            first = mixed.groupBy("node").agg(F.min("tile").alias("tile")).withColumn("active", F.lit(True))
-            entries = mixed.join(first, ["tile", "node"], "left").withColumns({"active": F.coalesce("active", F.lit(False)), "tiles": F.lit(None).cast("array<long>")})
+        if most:  # each node in one of its tiles
+            mixed_here = mixed.groupBy("node").agg(F.min_by(F.struct("tile", "n_shingles", "label"), "tile").alias("x")).select("node", "x.*")
+        else:
+            mixed_here = mixed
+        signs = _among(signed.select("node", "bits"), mixed)
+        if most is None:  # a node's own hot prefix shingles
+            signs = signs.join(mixed.groupBy("node").agg(F.sort_array(F.collect_list((F.col("tile") - (1 << 31)).cast("int"))).alias("tiles")), "node")
         else:
-            own = mixed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # a node's own hot prefix shingles
-            entries = mixed.join(own, "node").withColumn("active", F.lit(True))
-        entries = _blocks(entries.join(signed, "node"), percent, across=most is None, block=block)
-        entries = entries.select("tile", "band", "i", "j", "node", "n_shingles", "label", "bits", "own", "block", "active", "tiles")
+            signs = signs.withColumn("tiles", F.lit(None).cast("array<int>"))
+        entries = _blocks(mixed_here, percent, across=most is None, block=block).join(signs, "node")
+        entries = entries.select("tile", "band", "i", "j", "node", "n_shingles", "label", "bits", "own", "block", "tiles")
         groups = entries.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j")
         more = groups.mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
