@@ -56,7 +56,7 @@ CERTAIN = 1 << 20
 #: Partners of other components that a node of a hot tile is compared with before all of them are.
 LIKEST = 6
 #: A shingle counted this often comes last in the order; at most MOST_HOT of them do (8 MB broadcast).
-HOT_COUNT, MOST_HOT = 48, 500_000
+HOT_COUNT, MOST_HOT = 20, 500_000
 #: Shingles counted together in a task (64 MB), and how often one must occur there to be told.
 COUNT_CHUNK, COUNT_LEAST = 8_000_000, 3
 #: Prefix entries in a bucket of tiles.
