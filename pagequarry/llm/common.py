@@ -81,7 +81,7 @@ def deleted(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def text_slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+def text_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
     """Consecutive slices of a string array, each of about most_bytes at most (one row at least)."""
     import numpy as np
 

@@ -128,27 +128,34 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
 
 
+#: Where the hashes are cut to be counted by parts, for the memory of sorting.
+_CUTS = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that occur COUNT_LEAST times or more among some millions, with their counts."""
-    held, n = [], 0
+    held: list[list[np.ndarray]] = [[] for _ in range(8)]
+    n = 0
 
     def told() -> Iterator[pa.RecordBatch]:
-        together = np.concatenate(held)
-        held.clear()
-        part = (together >> np.uint64(60)).astype(np.uint8)
-        for k in range(16):  # a sixteenth of the hashes at a time, for the memory of sorting
-            values, counts = np.unique(together[part == k], return_counts=True)
+        for part in held:
+            values, counts = np.unique(np.concatenate(part), return_counts=True)
+            part.clear()
             keep = counts >= COUNT_LEAST
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
 
     for batch in batches:
-        for raw in batch.column(0):
-            held.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
-            n += len(held[-1])
-            if n >= COUNT_CHUNK:
-                yield from told()
-                n = 0
-    if held:
+        sets = [np.frombuffer(raw.as_py(), dtype=np.uint64) for raw in batch.column(0)]
+        if not sets:
+            continue
+        cuts = [[0, *np.searchsorted(x, _CUTS).tolist(), len(x)] for x in sets]
+        for k, part in enumerate(held):
+            part.append(np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]))
+        n += sum(map(len, sets))
+        if n >= COUNT_CHUNK:
+            yield from told()
+            n = 0
+    if n:
         yield from told()
     trim()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from .common import text_slices
 
 WORDS = 5
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, size: int = WORDS):
     """For each row its sorted distinct shingle hashes; works through the column in slices of some megabytes."""
-    for part in text_slices(column):
+    for part in text_slices(column, _SEGMENT):
         words, begins = word_hashes(part)
         for a, b in zip(begins[:-1], begins[1:], strict=True):
             yield np.unique(shingle_hashes(words[a:b], size))

@@ -146,6 +146,23 @@ def test_multi_index_retrieves_every_code_within_a_radius():
         assert index.within(codes[0], radius).tolist() == want.tolist()
 
 
+def test_index_is_probed_where_neighbours_are_near():
+    """Clusters of 40 among 20,000 rows: few codes are read, and the neighbours are those of brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((500, 48))
+    x = np.repeat(centres, 40, axis=0) + 0.08 * rng.standard_normal((20_000, 48))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    codes = ann.BinaryCodes(x[::4], 1.0)
+    fit = ann.learned_radius(codes, x[::4], 0.985)
+    index, query_codes = ann.MultiIndex(codes.of_rows(x)), codes.of_queries(x[::500])
+    hits = 0
+    for q, code in zip(x[::500], query_codes, strict=True):
+        rows, scores = index.search(code, lambda at: x[at] @ q, 20, -np.inf, lambda s: ann.radius_of(fit, s))
+        hits += len(set(rows[np.argsort(-scores)[:20]]) & set(np.argsort(-(x @ q))[:20]))
+    assert hits >= 0.95 * 20 * len(query_codes)
+    assert index.read < 0.1 * len(query_codes) * len(x)
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, None)]])
 def test_neighbours_of_tiny_tables(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
