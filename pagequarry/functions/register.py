@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import keywords
 from . import numbers, stats, url
 
 
-@F.arrow_udf(T.StringType())
-def slugify(values: pa.Array) -> pa.Array:
-    return pa.array([keywords.slug(v or "") for v in values.to_pylist()], pa.string())
-
-
 def register_udfs(spark: SparkSession) -> None:
     """url_key, norm_number, extract_numbers, slugify, fisher_p."""
-    for name, f in (("url_key", url.url_key), ("norm_number", numbers.norm_number), ("extract_numbers", numbers.extract_numbers), ("slugify", slugify), ("fisher_p", stats.fisher_p)):
+    for name, f in (("url_key", url.url_key), ("norm_number", numbers.norm_number), ("extract_numbers", numbers.extract_numbers), ("slugify", keywords.slugify), ("fisher_p", stats.fisher_p)):
         spark.udf.register(name, f)

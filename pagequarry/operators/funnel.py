@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import cell_number
-from ..functions.url import prefixes, url_key_sql
+from ..functions.url import prefixes, key_column
 
 
 def steps(generated: DataFrame, publishable: DataFrame, listed: DataFrame | None = None, indexed: DataFrame | None = None, cited: DataFrame | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def read_export(table: DataFrame, source: str, site: str) -> DataFrame:
     address = F.when(F.col(f"`{url}`").startswith("/"), F.concat(F.lit(site.rstrip("/")), f"`{url}`")).otherwise(F.col(f"`{url}`"))
     return table.select(
         F.lit(source).alias("source"),
-        url_key_sql(address).alias("key"),
+        key_column(address).alias("key"),
         number(pick("click")).alias("clicks"),
         number(pick("impression")).alias("impressions"),
         number(pick("position")).alias("position"),

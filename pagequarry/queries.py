@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import language, numbers, text
-from .functions.url import host_of, path_of, url_key_sql, url_pattern
+from .functions.url import host_of, path_of, key_column, url_pattern
 from .operators import compare, content, crawl, duplicates, funnel, graph, keywords, machine, publish, templates
 from .plans.check import check
 from .sources.files import robots_regex
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 KEYS = r"""
 k1 AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS bare FROM pages),
 k2 AS (SELECT *, regexp_extract(bare, '(\?.+)$', 1) AS q, regexp_replace(bare, '\?.*$', '') AS rest FROM k1),
-k3 AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^//([^/]*)', 1)), '(^www\.)|(:(80|443)$)', '', 'g') AS host,
+k3 AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^//([^/]*)', 1)), '(^www\.)|(:443$)', '', 'g') AS host,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '^//[^/]*', ''), '/{2,}', '/', 'g'), '(?i)(^|/)index\.(html|htm|md|markdown)$', '\1'), '(?i)\.(html|htm|md|markdown)$', '') AS p FROM k2),
 k4 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(p, '/+$', ''), '(?i)(^|/)index$', '\1'), '/+$', '') AS path0 FROM k3),
 keyed AS (SELECT *, CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path, CASE WHEN host <> '' THEN '//' || host ELSE '' END || CASE WHEN path0 = '' THEN '/' ELSE path0 END || q AS url_key FROM k4)
@@ -45,7 +45,7 @@ WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumn("url_key", url_key_sql(F.col("url")))
+    return table(spark, sf_dir, "pages").withColumn("url_key", key_column(F.col("url")))
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +340,7 @@ def log_windows_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/event[s].parquet")
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    folder = graph.shared_folder(spark)
     counted = logs.daily(stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day"), "ts", "event_type")
     return logs.run_to_table(counted, name, f"{folder}/{name}").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -421,9 +421,8 @@ def facts_not_in_row(spark, sf_dir):
     return content.facts_missing(p, claims, "p_partkey", ["p_size", "p_retailprice"], "said")
 
 
-_CUT = "(CASE WHEN length({w}) > 4 AND length(regexp_replace({w}, '(" + "|".join(keywords.ENDINGS) + ")$', '')) >= 3 THEN regexp_replace({w}, '(" + "|".join(keywords.ENDINGS) + ")$', '') ELSE {w} END)"
-_STEM = _CUT.format(w=_CUT.format(w="w"))
-_STEMS = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in keywords.STOP) + ")), lambda w: " + _STEM.replace("{", "{{").replace("}", "}}") + ")))"
+_STEM = f"regexp_replace(regexp_replace(w, '{keywords.STEM}', '\\1'), '{keywords.STEM}', '\\1')"
+_STEMS = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in keywords.STOP) + ") AND (length(w) > 1 OR regexp_full_match(w, '\\p{{Nd}}'))), lambda w: " + _STEM.replace("{", "{{").replace("}", "}}") + ")))"
 
 
 @query(
@@ -440,19 +439,21 @@ def fuzzy_row_match(spark, sf_dir):
     return out.select("page", "row_id", F.col("hits").cast("long").alias("hits"), F.col("n").cast("long").alias("n"))
 
 
-_LANGS = ["en", "de", "fr", "es"]
-_HITS = ", ".join("{'h': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in language.FUNCTION_WORDS[lang].split()) + f"))), 'l': '{lang}'}}" for lang in _LANGS)
+_HITS = ", ".join("{'less': -len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws.split()) + f"))), 'l': '{lang}'}}" for lang, ws in language.FUNCTION_WORDS.items())
+_CLOSE = ", ".join(f"['{a}', '{b}']" for a, b in language.CLOSE)
+_EVERYDAY = {lang: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws.split()) + ")))" for lang, ws in language.EVERYDAY.items()}
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, lang, list_filter({WORDS.format("text")}, lambda w: NOT regexp_full_match(w, '[0-9]+')) AS w FROM documents), s AS (SELECT doc_id, lang, len(w) AS n, list_sort([{_HITS}], 'DESC') AS r FROM d),
-t AS (SELECT doc_id, lang, n, r[1].h AS h1, list_min(list_transform(list_filter(r, lambda z: z.h = r[1].h), lambda z: z.l)) AS best, r[2].h AS h2 FROM s)
-SELECT doc_id, lang AS declared, CASE WHEN n >= 40 AND h1 >= 0.08 * n AND h2 * 1.5 <= h1 THEN best ELSE '' END AS detected FROM t"""
+    f"""WITH d AS (SELECT doc_id, lang, list_filter({WORDS.format("text")}, lambda w: NOT regexp_full_match(w, '[0-9]+')) AS w FROM documents),
+s AS (SELECT doc_id, lang, len(w) AS n, list_sort([{_HITS}]) AS r, {_EVERYDAY["id"]} AS ei, {_EVERYDAY["ms"]} AS em FROM d),
+t AS (SELECT *, -r[1].less AS h1, -r[2].less AS h2, r[1].l AS best, list_sort([r[1].l, r[2].l]) AS pair FROM s)
+SELECT doc_id, lang AS declared, CASE WHEN n < 40 OR h1 < 0.08 * n THEN '' WHEN pair = ['id', 'ms'] THEN CASE WHEN ei >= 3 AND ei >= 2 * em THEN 'id' WHEN em >= 3 AND em >= 2 * ei THEN 'ms' ELSE '' END
+  WHEN h2 * CASE WHEN pair IN ({_CLOSE}) THEN 1.15 ELSE 1.5 END <= h1 THEN best ELSE '' END AS detected FROM t"""
 )
 def language_by_function_words(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    found = language.detected(d, "doc_id", "text", _LANGS)
-    return found.join(d.select("doc_id", F.col("lang").alias("declared")), "doc_id").select("doc_id", "declared", F.col("language").alias("detected"))
+    return d.select("doc_id", F.col("lang").alias("declared"), language.detect(F.col("text")).alias("detected"))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^\\p{Latin}]', '', 'g'))::BIGINT AS latin, length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g'))::BIGINT AS cyrillic, length(regexp_replace(text, '[^\\p{Greek}]', '', 'g'))::BIGINT AS greek FROM documents")
