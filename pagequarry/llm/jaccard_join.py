@@ -61,6 +61,8 @@ HOT_COUNT, MOST_HOT = 20, 500_000
 COUNT_CHUNK, COUNT_LEAST = 8_000_000, 3
 #: Prefix entries in a bucket of tiles.
 BUCKET_ENTRIES = 400_000
+#: Pairs of a bucket that are held at once, and rows told together.
+PASS_PAIRS, TOLD_ROWS = 1_500_000, 50_000
 #: Entries of one shingle beyond which its tile is dealt over several buckets.
 SPLIT = 200_000
 #: Nodes of a hot tile that are compared in one task with as many others.
@@ -229,67 +231,73 @@ def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(k), np.concatenate(v), np.concatenate(n).astype(np.int64)
 
 
-def _tile_pairs(blobs: list[bytes], percent: int, dealt: np.ndarray, tile: int) -> pa.RecordBatch:
-    """Candidate pairs of a bucket's tiles, and the entries of hot tiles for the second round (b null).  dealt: shingles whose tiles are in several buckets."""
+def _told(a, b, na, nb, shared, tile) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles in batches of TOLD_ROWS; a column is an array or None for nulls."""
+    n = len(a)
+    for at in range(0, n, TOLD_ROWS):
+        end = min(at + TOLD_ROWS, n)
+        columns = [pa.nulls(end - at, pa.int64()) if x is None else pa.array(x[at:end].astype(np.int64)) for x in (a, b, na, nb, shared, tile)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "shared", "tile"])
+
+
+def _tile_pairs(blobs: list[bytes], percent: int, dealt: np.ndarray, tile: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of a bucket's tiles (a < b, their sizes, how often they met), and the entries of hot tiles for the second round (b null).  dealt: shingles whose tiles are in several buckets.
+
+    Pairs are held as one number each, and made in as many passes over the first
+    node as keep them under PASS_PAIRS.
+    """
     k, v, n = _entries(blobs)
+    nodes, v = np.unique(v, return_inverse=True)
+    v = v.astype(np.int32)
+    sizes = np.zeros(len(nodes), dtype=np.int64)
+    sizes[v] = n
     order = np.lexsort((v, n, k))
     k, v, n = k[order], v[order], n[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
     k, v, n = k[new], v[new], n[new]
     marks, first, inverse, count = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
-    count[np.isin(marks, dealt)] += tile  # hot wherever it is, however few are here
-    size = count[inverse]
-    count[np.isin(marks, dealt)] -= tile
-    lefts, rights, star_a, star_b = [], [], [], []
-    keep = np.flatnonzero((size > 1) & (size <= tile))
-    kk, nn = k[keep], n[keep]
-    for step in range(1, tile):
-        same = kk[step:] == kk[:-step]
-        if step >= len(kk) or not same.any():
-            break
-        at = np.flatnonzero(same & (percent * nn[step:] <= 100 * nn[:-step]))
-        lefts.append(keep[at])
-        rights.append(keep[at + step])
-    for g in np.flatnonzero(size[first] > tile):
-        base, sizes = first[g], n[first[g] : first[g] + count[g]]
+    hot_mark = (count > tile) | np.isin(marks, dealt)
+    hot = hot_mark[inverse]
+    keep = np.flatnonzero(~hot & (count[inverse] > 1))
+    kk, vv, nn = k[keep], v[keep], n[keep]
+    small = count[~hot_mark].astype(np.int64)
+    passes = int((small * (small - 1) // 2).sum() // PASS_PAIRS) + 1
+
+    def code(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y)
+
+    def told(codes: list[np.ndarray], weight: int) -> Iterator[pa.RecordBatch]:
+        pairs, times = np.unique(np.concatenate(codes), return_counts=True)
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        yield from _told(nodes[a], nodes[b], sizes[a], sizes[b], times * weight, None)
+
+    for turn in range(passes):
+        met = [np.zeros(0, dtype=np.int64)]
+        for step in range(1, min(tile, len(kk))):
+            same = kk[step:] == kk[:-step]
+            if not same.any():
+                break
+            at = np.flatnonzero(same & (percent * nn[step:] <= 100 * nn[:-step]))
+            made = code(vv[at], vv[at + step])
+            met.append(made if passes == 1 else made[(made >> 32) % passes == turn])
+        yield from told(met, 1)
+    stars = [np.zeros(0, dtype=np.int64)]
+    for g in np.flatnonzero(hot_mark):
+        own_v, own_n = v[first[g] : first[g] + count[g]], n[first[g] : first[g] + count[g]]
         # Size bands of a factor 1.15; each node meets one of its own band and one of the band below.
-        band = np.floor(np.log(sizes) / np.log(1.15)).astype(np.int64)
+        band = np.floor(np.log(own_n) / np.log(1.15)).astype(np.int64)
         bands, starts, counts = np.unique(band, return_index=True, return_counts=True)
-        turn = int(k[base] & 3)
-        chosen = starts + turn * counts // 4
+        chosen = starts + int(marks[g] & 3) * counts // 4
         own = np.searchsorted(bands, band)
         for below in (0, 1):
             b = own - below
             rep = chosen[np.maximum(b, 0)]
-            low, high = np.minimum(sizes, sizes[rep]), np.maximum(sizes, sizes[rep])
-            at = np.flatnonzero((b >= 0) & (percent * high <= 100 * low) & (rep != np.arange(len(sizes))))
-            star_a.append(base + at)
-            star_b.append(base + rep[at])
-
-    def pairs_of(at: np.ndarray, to: np.ndarray, weight: int) -> np.ndarray:
-        """Distinct pairs, the lesser node first: a, b, their sizes, and how often the pair was met times weight."""
-        if not len(at):
-            return np.zeros((5, 0), dtype=np.int64)
-        swap = v[at] > v[to]
-        x, y = np.where(swap, to, at), np.where(swap, at, to)
-        order = np.lexsort((v[y], v[x]))
-        x, y = x[order], y[order]
-        new = np.ones(len(x), dtype=bool)
-        new[1:] = (v[x][1:] != v[x][:-1]) | (v[y][1:] != v[y][:-1])
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(x))) * weight
-        return np.stack([v[x[first]], v[y[first]], n[x[first]], n[y[first]], times])
-
-    met = pairs_of(np.concatenate(lefts) if lefts else np.zeros(0, dtype=np.int64), np.concatenate(rights) if rights else np.zeros(0, dtype=np.int64), 1)
-    stars = pairs_of(np.concatenate(star_a) if star_a else np.zeros(0, dtype=np.int64), np.concatenate(star_b) if star_b else np.zeros(0, dtype=np.int64), CERTAIN)
-    pairs = np.concatenate([met, stars], axis=1)
-    hot = np.flatnonzero(size > tile)
-    columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(v[hot])]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(hot), pa.int64())])]
-    columns.append(pa.concat_arrays([pa.array(pairs[2]), pa.array(n[hot])]))
-    columns += [pa.concat_arrays([pa.array(pairs[i]), pa.nulls(len(hot), pa.int64())]) for i in (3, 4)]
-    columns.append(pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(k[hot].astype(np.int64))]))
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "shared", "tile"])
+            low, high = np.minimum(own_n, own_n[rep]), np.maximum(own_n, own_n[rep])
+            at = np.flatnonzero((b >= 0) & (percent * high <= 100 * low) & (rep != np.arange(len(own_n))))
+            stars.append(code(own_v[at], own_v[rep[at]]))
+    yield from told(stars, CERTAIN)
+    yield from _told(nodes[v[hot]], None, n[hot], None, None, k[hot])
 
 
 def _tiles(hot, percent: int, split: int, tile: int):
@@ -300,12 +308,13 @@ def _tiles(hot, percent: int, split: int, tile: int):
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now and held:
-                    yield _tile_pairs(held, percent, dealt, tile)
+                    yield from _tile_pairs(held, percent, dealt, tile)
                     held = []
+                    trim()
                 now = bucket
                 held.append(blob.as_py())
         if held:
-            yield _tile_pairs(held, percent, dealt, tile)
+            yield from _tile_pairs(held, percent, dealt, tile)
         trim()
 
     return run

@@ -84,7 +84,9 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND)
     def dense(column: pa.Array) -> pa.Array:
         return pa.array([features(t or "") for t in column.to_pylist()], pa.list_(pa.float64()))
 
-    rows = sample.select("doc_id", "label", dense("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("doc_id", "label", dense("text").alias("x"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(bound).toPandas()  # a labelled doc_id may stand on very many rows
+    rows = rows.sort_values("doc_id", kind="stable")
     y = rows["label"].to_numpy(dtype=float)
     prior = float(np.clip(y.mean(), 0.005, 0.995)) if len(y) else 0.5
     if len(y) < 8 or y.min() == y.max():

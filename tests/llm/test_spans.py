@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
+import uuid
 
+import numpy as np
 import pytest
 
 from pagequarry.llm import pii, secrets
@@ -87,14 +91,73 @@ def test_redaction_covers_every_span(spark):
     assert not re.search("[0-9]{4}", rows[3])
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
+def phi(z: float) -> float:
+    return 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
+
+
+def battery(value: str) -> tuple[int, float, float]:
+    """Length, bits and p-value of a candidate, by a plain reading."""
+    body = value.rstrip("=").replace("-", "").replace("_", "")
+    kind = "hex" if re.fullmatch("[0-9a-fA-F]+", body) else "base32" if re.fullmatch("[A-Z2-7]+", body) else "base64"
+    abc, (excess, rate) = secrets.ALPHABETS[kind], secrets.NATURAL[kind]
+    v = [abc.index(c) for c in (body.lower() if kind == "hex" else body)]
+    n, w = len(v), len(abc)
+    chi = sum((v.count(s) - n / w) ** 2 / (n / w) for s in range(w))
+    classes = [1 if c.isupper() else 2 if c.islower() else 3 for c in body]
+    turns = sum(p != q for p, q in zip(classes, classes[1:]))
+    mean = sum(v) / n
+    var = sum((x - mean) ** 2 for x in v)
+    r = min(abs(sum((p - mean) * (q - mean) for p, q in zip(v, v[1:])) / var), 0.999) if var else 1
+    ps = [phi((chi - (w - 1) - n * excess) / math.sqrt(2 * (w - 1 + 2 * n * excess)))]
+    ps.append(phi(((n - 1) * rate + 0.5 - turns) / math.sqrt((n - 1) * rate * (1 - rate))))
+    ps.append(phi((math.atanh(r) - math.atanh(secrets.NATURAL_SERIAL)) * math.sqrt(n - 3)) if var else phi(9))
+    return n, n * math.log2(w), max(ps)
+
+
+def brute_random(text: str, fdr: float = 0.05, least_bits: float = 90) -> list[tuple[int, int, float]]:
+    base = base_secrets(text)
+    found = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
+            found.append((m.start(), m.end(), *battery(m[0])))
+    mean = sum(x[2] for x in found) / max(len(found), 1)
+    order = sorted((p * mean / n, s, e, bits, p) for s, e, n, bits, p in found)
+    last = max((i for i, x in enumerate(order) if x[0] <= (i + 1) * fdr / len(order)), default=-1)
+    return sorted((s, e, 1 - p) for i, (_, s, e, bits, p) in enumerate(order) if i <= last and bits >= least_bits)
+
+
+def test_random_kind_equals_brute_force_and_tells_names_from_secrets(spark):
     rnd = random.Random(5)
     abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     tokens = ["".join(rnd.choice(abc) for _ in range(40)) for _ in range(40)]
-    plain = [f"the-long-page-name-of-section-{i}-in-the-old-manual" for i in range(40)] + ["aaaaaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890a1234567890a1234567890a"]
-    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(tokens + plain)), "doc_id long, text string")).collect()
-    hits = {r.doc_id for r in rows if any(x.kind == "random" for x in r.secret_spans)}
-    assert len([i for i in hits if i < 40]) >= 32 and not [i for i in hits if i >= 40]
+    uuids = [str(uuid.UUID(int=rnd.getrandbits(128))) for _ in range(40)]
+    plain = [f"the-long-page-name-of-section-{i}-in-the-old-manual" for i in range(40)] + ["aaaaaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890a1234567890a1234567890a", "30Z-backup-server01-nightly", "2024-01-15T10-22-33Z-build-7", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "getUserNameByIdAndDate2Factory"]
+    mixed = [" ".join([rnd.choice(tokens), rnd.choice(plain), rnd.choice(uuids), "password=hunter2hunter2hunter2x", rnd.choice(plain)]) for _ in range(30)]
+    texts = tokens + uuids + plain + mixed
+    rows = {r.doc_id: [(x.start, x.end, x.score) for x in r.secret_spans if x.kind == "random"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = brute_random(t)
+        assert [x[:2] for x in rows[i]] == [x[:2] for x in want] and np.allclose([x[2] for x in rows[i]], [x[2] for x in want], atol=1e-9), t
+    hits = {i for i, x in rows.items() if x}
+    assert len([i for i in hits if i < 40]) >= 38 and len([i for i in hits if 40 <= i < 80]) >= 20
+    assert not [i for i in hits if 80 <= i < 80 + len(plain)]
+
+
+def test_queries_of_spans(spark, tmp_path):
+    texts = made_up()[:200]
+    spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kind string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query, base, module in ((pii.op6_pii, base_pii, pii), (secrets.op9_secrets, base_secrets, secrets)):
+        for r in query(spark, str(tmp_path)).collect():
+            found = base(texts[r.doc_id] or "")
+            assert r.base_sha256 == hashlib.sha256(want(found, module.KINDS).encode()).hexdigest()
+            assert [r[f"n_{k}"] for k in module.KINDS[: module.BASE]] == [sum(x[1] == no for x in found) for no in range(module.BASE)]
+            assert set(want(found, module.KINDS).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_context_words_move_a_score(spark):
+    texts = ["call 4111 1111 1111 1111", "credit card 4111 1111 1111 1111", "invoice 4111 1111 1111 1111"]
+    scores = [r.pii_spans[0].score for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert scores[1] > scores[0] > scores[2]
 
 
 def test_empty_table_and_clashing_columns(spark):
