@@ -31,7 +31,7 @@ from .common import Recent
 #: Code points below this take the fast path, where Python's rules were compared with the library's.
 _FAST_END = 0x250
 #: Verdicts on pairs of tokens that are kept (some 100 bytes each).
-MOST_VERDICTS = 250_000
+MOST_VERDICTS = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -62,7 +62,7 @@ def _rows(lists: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 class WordBpe:
     """Encoder and decoder; `encode_column` and `decode_column` are what the operators call."""
 
-    def __init__(self, spec: str, cache_bytes: int = 32 << 20, by_library: bool = False):
+    def __init__(self, spec: str, cache_bytes: int = 24 << 20, by_library: bool = False):
         """by_library: words not met before are encoded by the library's model itself, not by the trie."""
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
