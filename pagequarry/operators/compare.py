@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.stats import fisher_p
 from ..functions.url import url_pattern
 from ..model import finding, union_all
+from .graph import few
 
 SHRUNK_WORDS, SHRUNK_SHARE, TEMPLATE_PAGES, TEMPLATE_SHARE = 50, 0.5, 5, 0.5
 
@@ -23,8 +24,8 @@ def full_changes(old: DataFrame, new: DataFrame, key: str, hash_: str, words: st
 
 
 def redirected(removed: DataFrame, rules: DataFrame) -> DataFrame:
-    """key, rule_no, target of removed pages (key, path): the first rule that fits.  rules (rule_no, regex, target) are the lines of a hosting file and are broadcast."""
-    hit = removed.join(F.broadcast(rules), F.regexp_like("path", F.col("regex")))
+    """key, rule_no, target of removed pages (key, path): the first rule that fits.  rules (rule_no, regex, target) are the lines of a hosting file."""
+    hit = removed.join(few(rules), F.regexp_like("path", F.col("regex")))
     first = hit.groupBy("key", "path").agg(F.min(F.struct("rule_no", "regex", "target")).alias("m")).select("key", "path", "m.*")
     # :splat, :name and $1 stand for the rule's first group.
     filled = F.expr("case when target rlike '(:[A-Za-z*]+|[$]1)' and regex like '%(?<%' then regexp_replace(target, '(:[A-Za-z]+[*+]?|[$]1)', regexp_extract(path, regex, 1)) else target end")

@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.url import key_column, path_of
 from ..model import finding
-
-#: Rules up to this number are broadcast.
-MOST_RULES = 20_000
-
-
-def _few(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.count() <= MOST_RULES else rules
-
+from .graph import few
 
 def _path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -22,7 +15,7 @@ def _path(url: Column) -> Column:
 
 def header_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """url, directive, source, pattern: the first rule of X-Robots-Tag (files.header_table) that closes each page; a source that takes the header off again doesn't count for that page."""
-    hit = pages.select("url", _path(F.col("url")).alias("path")).join(_few(rules), F.regexp_like("path", F.col("regex")))
+    hit = pages.select("url", _path(F.col("url")).alias("path")).join(few(rules), F.regexp_like("path", F.col("regex")))
     by_source = hit.groupBy("url", "directive", "source").agg(F.min(F.when(F.col("closes"), F.struct("line", "pattern"))).alias("m"), F.max(~F.col("closes")).alias("reopened"))
     return by_source.filter("m is not null and not reopened").groupBy("url", "directive").agg(F.min(F.struct("m.line", "source", "m.pattern")).alias("m")).select("url", "directive", "m.source", "m.pattern")
 
@@ -81,7 +74,7 @@ def wrong_forms(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     tail = F.when((F.col("kind") == "folder") & (F.col("form") == "file"), ".html").when((F.col("kind") == "flat") & (F.col("form") == "slash"), "/").when((F.col("kind") == "flat") & (F.col("form") == "index"), "/index.html")
     wrong = linked.withColumn("tail", tail).filter("tail is not null").select("url", F.concat(F.regexp_replace(path_of(F.col("target")), "/+$", ""), "tail").alias("said")).distinct()
     if redirects is not None:
-        wrong = wrong.join(_few(redirects), F.regexp_like("said", F.col("regex")), "left_anti")
+        wrong = wrong.join(few(redirects), F.regexp_like("said", F.col("regex")), "left_anti")
     return wrong.select(finding("warning", "wrong-link-form", F.concat("said", F.lit(" isn't served in this form")), subject=F.array("said")).alias("f")).select("f.*")
 
 

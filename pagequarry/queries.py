@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import language, numbers, text
 from .functions.url import host_of, path_of, key_column, url_pattern
-from .operators import compare, content, crawl, duplicates, funnel, graph, keywords, machine, publish, templates
+from .operators import collapse, compare, content, crawl, duplicates, funnel, graph, hosting, hreflang, keywords, machine, publish, technical, templates
 from .plans.check import check
-from .sources.files import robots_regex
+from .sources.files import header_table, resolve_duplicates, robots_regex, robots_table
 from .sources.html import parse_pages
 from .streaming import logs
 
@@ -72,15 +72,19 @@ def page_fields(spark, sf_dir):
     return parsed.select(F.col("path").cast("long").alias("page_id"), "lang", "title", F.size("anchors").cast("long").alias("link_count"), F.col("blocks.li").cast("long").alias("li_count"), h1.cast("long").alias("h1_count"))
 
 
-@query(f"WITH {KEYS} SELECT url_key, (max_by(page_id, (length(html), -page_id)))::BIGINT AS kept, (count(*) - 1)::BIGINT AS dropped FROM keyed GROUP BY url_key")
+@query(f"WITH {KEYS} SELECT url_key, page_id AS kept, dropped FROM (SELECT url_key, page_id, (count(*) OVER (PARTITION BY url_key) - 1)::BIGINT AS dropped, row_number() OVER (PARTITION BY url_key ORDER BY len(regexp_extract_all(html, '<a href=')) DESC, length(html) DESC, page_id) AS r FROM keyed) WHERE r = 1")
 def duplicate_key_resolution(spark, sf_dir):
-    best = F.max_by("page_id", F.struct(F.length("html"), -F.col("page_id")))
-    return keyed(spark, sf_dir).groupBy("url_key").agg(best.alias("kept"), (F.count(F.lit(1)) - 1).cast("long").alias("dropped"))
+    rows = keyed(spark, sf_dir).select(F.col("url_key").alias("key"), F.regexp_extract_all("html", F.lit("<a href="), F.lit(0)).alias("links"), F.col("html").alias("text"), F.col("page_id").alias("path"))
+    return resolve_duplicates(rows).select(F.col("key").alias("url_key"), F.col("path").alias("kept"), "dropped")
 
 
-@query(f"""WITH t AS (SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower({TITLE}) AS title FROM pages) SELECT lang, title, count(*)::BIGINT AS pages FROM t GROUP BY lang, title HAVING count(*) > 1""")
+@query(
+    f"""WITH t AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower({TITLE}) AS title FROM pages), n AS (SELECT *, count(*) OVER (PARTITION BY lang, title) AS n FROM t WHERE title <> '')
+SELECT page_id, 'duplicate-title' AS code, 'the same title on ' || (n - 1) || ' other pages' AS message FROM n WHERE n > 1"""
+)
 def duplicate_title(spark, sf_dir):
-    return titled(spark, sf_dir).groupBy("lang", F.lower("title").alias("title")).agg(F.count(F.lit(1)).cast("long").alias("pages")).filter("pages > 1")
+    pages = titled(spark, sf_dir).select(F.col("page_id").alias("url"), F.col("url_key").alias("key"), "lang", "title", F.lit("").alias("description"), F.lit(True).alias("indexable"))
+    return technical.duplicates(pages).select(F.col("url").alias("page_id"), "code", "message")
 
 
 _BOUNDS = f"""SELECT page_id, length(t)::BIGINT AS width, CASE WHEN length(t) = 0 THEN 'no-title' WHEN length(t) < 20 THEN 'title-short' WHEN length(t) > 65 THEN 'title-long' END AS code FROM (SELECT page_id, url, {TITLE} AS t FROM pages)"""
@@ -198,15 +202,24 @@ def _links(spark, sf_dir) -> DataFrame:
     return rows.select("page_id", "src", "host", F.concat(F.lit("//"), "host", "h").alias("dst")).distinct()
 
 
+def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages with key and links, and their edges by graph.link_edges."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="(/[^"#?]*)'), F.lit(1))
+    root = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", key_column(F.col("url")).alias("key"), F.transform(hrefs, lambda h: F.concat(root, h)).alias("links"))
+    return pages, graph.link_edges(pages)
+
+
 @query(f"WITH {_LINKS} SELECT page_id FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.dst = k.url_key)")
 def link_orphans(spark, sf_dir):
-    return keyed(spark, sf_dir).join(_links(spark, sf_dir).select(F.col("dst").alias("url_key")).distinct(), "url_key", "left_anti").select("page_id")
+    pages, edges = _edges(spark, sf_dir)
+    return pages.join(edges.select(F.col("dst").alias("key")).filter("key is not null").distinct(), "key", "left_anti").select("page_id")
 
 
-@query(f"WITH {_LINKS} SELECT page_id FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM links l JOIN keyed t ON t.url_key = l.dst WHERE l.page_id = k.page_id)")
+@query(f"WITH {_LINKS} SELECT page_id FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM links l JOIN keyed t ON t.url_key = l.dst WHERE l.src = k.url_key AND l.dst <> l.src)")
 def link_dead_ends(spark, sf_dir):
-    live = _links(spark, sf_dir).join(keyed(spark, sf_dir).select(F.col("url_key").alias("dst")).distinct(), "dst", "left_semi").select("page_id").distinct()
-    return keyed(spark, sf_dir).select("page_id").join(live, "page_id", "left_anti")
+    pages, edges = _edges(spark, sf_dir)
+    return pages.select("page_id", "key").join(graph.dead_ends(pages, edges).distinct(), "key", "left_semi").select("page_id")
 
 
 @query(f"WITH {_LINKS} SELECT l.page_id, l.dst AS link FROM links l WHERE NOT EXISTS (SELECT 1 FROM keyed t WHERE t.url_key = l.dst) AND EXISTS (SELECT 1 FROM keyed s WHERE '//' || s.host = regexp_replace(l.dst, '/[^/]*$', ''))")
@@ -218,24 +231,13 @@ def broken_links_section_semi(spark, sf_dir):
     return lost.withColumn("section", graph.parent(F.col("dst"))).join(hosts, "section", "left_semi").select("page_id", F.col("dst").alias("link"))
 
 
-_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 50 = 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
-
-
 @query(
-    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT min(a) AS node, 0 AS depth FROM e UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.node WHERE r.depth < 12)
-SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, depth) USING KEY (node) AS (SELECT min(a), 0::BIGINT FROM e UNION SELECT DISTINCT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.r s WHERE s.node = g.b))
+SELECT node, depth FROM r WHERE node IS NOT NULL"""
 )
 def click_depth(spark, sf_dir):
-    """Breadth-first depth in the graph of suppliers and parts of every fiftieth order, which is what its SQL reads; click_depth_all reads every order.
-
-    The walk ends when nothing new is reached; the SQL stops at depth 12.
-    """
-    return _click_depths(table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
-
-
-@query()
-def click_depth_all(spark, sf_dir):
-    """Breadth-first depth in the graph of suppliers and parts of all orders; a recursive query over all edges is too slow to be its SQL."""
+    """Breadth-first depth in the graph of suppliers and parts of all orders; both walks end when nothing new is reached."""
     return _click_depths(table(spark, sf_dir, "lineitem"))
 
 
@@ -246,13 +248,11 @@ def _click_depths(lines: DataFrame) -> DataFrame:
     return graph.depths(both, roots).select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@query("""SELECT DISTINCT x.l_suppkey AS src, x.l_partkey AS dst FROM lineitem x WHERE x.l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_linenumber % 2 = 0 AND y.l_partkey = x.l_suppkey AND y.l_suppkey = x.l_partkey)""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem) SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.src = e.dst AND y.dst = e.src)""")
 def reciprocity_missing(spark, sf_dir):
-    """Edges of odd lines that no even line returns."""
-    li = table(spark, sf_dir, "lineitem")
-    out = li.filter("l_linenumber % 2 = 1").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    back = li.filter("l_linenumber % 2 = 0").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return out.join(back, ["src", "dst"], "left_anti")
+    """Edges that no edge returns."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return hreflang.unreturned(edges)
 
 
 @query(
@@ -542,7 +542,53 @@ def locale_paths(spark, sf_dir):
     return k.select("page_id", F.lower(path_of(F.col("url_key"))).alias("path"), (locale_split(F.col("url_key"))[0] != "").alias("localised"))
 
 
+@query(
+    f"""WITH {KEYS}, p AS (SELECT host, page_id % 20 <> 0 AND path LIKE '/fr/%' AS closed, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM keyed),
+s AS (SELECT host, count(*) AS site FROM p GROUP BY 1), x AS (SELECT host, closed, '/' || array_to_string(parts[1:d], '/') || '/' AS prefix FROM (SELECT host, closed, parts, unnest(range(1, least(len(parts) - 1, 3) + 1)) AS d FROM p)),
+c AS (SELECT host, prefix, count(*)::BIGINT AS pages, count(*) FILTER (closed)::BIGINT AS closed FROM x GROUP BY 1, 2)
+SELECT host, prefix, pages, closed FROM c JOIN s USING (host) WHERE pages >= 20 AND closed >= 0.9 * pages AND pages < 0.5 * site AND NOT EXISTS
+  (SELECT 1 FROM c o JOIN s t USING (host) WHERE o.host = c.host AND o.prefix <> c.prefix AND starts_with(c.prefix, o.prefix) AND o.pages >= 20 AND o.closed >= 0.9 * o.pages AND o.pages < 0.5 * t.site)"""
+)
+def closed_sections(spark, sf_dir):
+    """Sections closed on purpose, with the French pages but for a twentieth taken as closed."""
+    closed = (F.col("page_id") % 20 != 0) & path_of(F.col("url_key")).startswith("/fr/")
+    pages = keyed(spark, sf_dir).select(F.col("url_key").alias("key"), "url", closed.alias("noindex"))
+    return collapse.closed_prefixes(pages)
+
+
+_HEADERS = {"_headers": "/en/*\n  X-Robots-Tag: noindex\n/en/1*\n  ! X-Robots-Tag\n/de/2*\n  X-Robots-Tag: nosnippet\n", "vercel.json": '{"headers": [{"source": "/es/:rest*", "headers": [{"key": "X-Robots-Tag", "value": "none"}]}]}'}
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN path LIKE '/de/%' THEN 'nosnippet' ELSE 'noindex' END AS directive, CASE WHEN path LIKE '/es/%' THEN 'vercel.json' ELSE '_headers' END AS source FROM p
+WHERE (path LIKE '/en/%' AND path NOT LIKE '/en/1%') OR path LIKE '/de/2%' OR path LIKE '/es/%'"""
+)
+def header_rules(spark, sf_dir):
+    """Pages closed by X-Robots-Tag lines of hosting files."""
+    rules = header_table(spark, _HEADERS)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hits = hosting.header_hits(pages.select("url").distinct(), rules)
+    return pages.join(hits, "url").select("page_id", "directive", "source")
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), f AS (SELECT regexp_extract(CASE WHEN href LIKE 'http%' THEN regexp_replace(href, '^[a-z]+://[^/]+', '') ELSE href END, '^([^?#]*)', 1) AS path FROM l)
+SELECT CASE WHEN regexp_matches(path, '(?i)(^|/)index\.html?$') THEN 'index' WHEN regexp_matches(path, '(?i)\.html?$') THEN 'file' WHEN path LIKE '%/' THEN 'slash' ELSE 'bare' END AS form, count(*)::BIGINT AS links FROM f GROUP BY 1"""
+)
+def link_form_votes(spark, sf_dir):
+    """The forms in which addresses are linked."""
+    hrefs = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"), F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("root"))
+    whole = F.when(F.col("h").startswith("http"), F.col("h")).otherwise(F.concat("root", "h"))
+    return hrefs.groupBy(hosting.form(whole).alias("form")).agg(F.count(F.lit(1)).cast("long").alias("links"))
+
+
+_ROBOTS = "User-agent: *\nDisallow: /en/9\nAllow: /en/99\nUser-agent: gptbot\nDisallow: /\n"
+
+
 @query()
 def technical_findings(spark, sf_dir):
-    """The whole check over the page corpus: parsed, flagged, all findings sorted."""
-    return check(parse_pages(table(spark, sf_dir, "pages")), today="2024-06-01")["findings"].drop("subject")
+    """The whole check over the page corpus: parsed, flagged, walked from each host's root, robots rules; all findings sorted."""
+    pages = parse_pages(table(spark, sf_dir, "pages"))
+    rules = robots_table(spark, _ROBOTS)
+    return check(pages, today="2024-06-01", rules=rules)["findings"].drop("subject")

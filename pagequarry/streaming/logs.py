@@ -41,14 +41,36 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     return stream.sparkSession.table(name)
 
 
-def manifest_sink(state_path: str, today: Column | str):
-    """A foreachBatch function that merges pages (key, hash) into the publishing state, one generation of files a batch: a batch that is run again writes the same generation."""
+def manifest_sink(state_path: str, today: Column | str, keep: int = 3):
+    """A foreachBatch function that merges pages (key, hash) into the publishing state.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
+    Each batch makes a new generation of files from the newest finished one, whatever
+    checkpoint it comes from; a batch that is run again finds its pages unchanged and
+    changes nothing.  Dropped tombstones leave the state, so a page that comes back
+    after them is new.  The last `keep` generations stay.
+    """
+    schema = "key string, hash string, lastmod date, notified string, missing_since date"
+
+    def merge(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        schema = "key string, hash string, lastmod date, notified string, missing_since date"
-        old = spark.read.schema(schema).parquet(f"{state_path}/{epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        merged = merge_manifest(old, batch.dropDuplicates(["key"]), today).drop("state")
-        merged.write.mode("overwrite").parquet(f"{state_path}/{epoch}")
+        have = sorted(_generations(spark, state_path))
+        old = spark.read.schema(schema).parquet(f"{state_path}/{have[-1]}") if have else spark.createDataFrame([], schema)
+        merged = merge_manifest(old, batch.dropDuplicates(["key"]), today).filter("state <> 'dropped'").drop("state")
+        merged.write.mode("overwrite").parquet(f"{state_path}/{have[-1] + 1 if have else 0}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for g in have[: 1 - keep] if keep > 1 else have:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{g}"), True)
 
     return merge
+
+
+def _generations(spark: SparkSession, state_path: str) -> list[int]:
+    """Numbers of the finished generations."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    return [int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
