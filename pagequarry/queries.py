@@ -408,10 +408,26 @@ def number_extraction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(numbers.plain_numbers(F.col("text"))).alias("number"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT p_partkey, p_size, p_partkey % 90 + 10 AS n FROM part),
+s AS (SELECT p_partkey, 'percent' AS kind, '' AS unit, false AS scaled, n::VARCHAR AS value FROM t UNION ALL SELECT p_partkey, 'percent', '', false, (n + 5)::VARCHAR FROM t
+  UNION ALL SELECT p_partkey, 'unit', 'day', false, p_size::VARCHAR FROM t UNION ALL SELECT p_partkey, 'currency', '', true, (n::BIGINT * 1000000)::VARCHAR FROM t UNION ALL SELECT p_partkey, 'plain', '', true, (n::BIGINT * 10000 + 2000)::VARCHAR FROM t
+  UNION ALL SELECT p_partkey, 'unit', 'kg', false, '325' FROM t)
+SELECT p_partkey, kind, unit, scaled, value FROM s"""
+)
 def number_grammar(spark, sf_dir):
-    """All number forms: groups, scales, currencies, percentages."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(numbers.extract_numbers("text")).alias("n")).select("conv_id", "turn", "n.*")
+    """Ranges, units, currencies with scale words, signs of scale, and numbers in words, in sentences made from the table."""
+    n = (F.col("p_partkey") % 90 + 10).cast("string")
+    more = (F.col("p_partkey") % 90 + 15).cast("string")
+    said = F.concat(n, F.lit("–"), more, F.lit(" % of it in "), F.col("p_size").cast("string"), F.lit(" days; $"), n, F.lit(" million. 规模 "), n, F.lit("万2千; three hundred and twenty-five kg"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(numbers.extract_numbers(said)).alias("n")).select("p_partkey", "n.*")
+
+
+@query()
+def number_forms(spark, sf_dir):
+    """All number forms of the documents, by kind and unit."""
+    found = table(spark, sf_dir, "documents").select(F.explode(numbers.extract_numbers("text")).alias("n")).select("n.*")
+    return found.groupBy("kind", "unit", "scaled").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 @query("""SELECT p_partkey, (p_partkey % 7 + 100)::VARCHAR AS number FROM part WHERE (p_partkey % 7 + 100) <> p_size AND (p_partkey % 7 + 100) <> p_retailprice""")
