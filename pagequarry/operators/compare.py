@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,12 +63,24 @@ def build_diff(old: DataFrame, new: DataFrame, moved: DataFrame | None = None) -
 
 
 def multiset_diff(now: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, occurrence and state (new, fixed, unchanged) of a full outer join of two multisets: equal rows are told apart by their number."""
-    order = Window.partitionBy(*columns).orderBy(F.lit(1))
-    number = lambda df: df.select(*columns).withColumn("occurrence", F.row_number().over(order))
-    a, b = number(now).withColumn("a", F.lit(True)), number(before).withColumn("b", F.lit(True))
-    df = a.join(b, [*columns, "occurrence"], "full_outer")
-    return df.select(*columns, "occurrence", F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "fixed").otherwise("unchanged").alias("state"))
+    """The columns, and how many rows of them are new, fixed and unchanged: equal rows differ by their number only, so counts decide, and no row of a hot key meets another."""
+    count = lambda df, name: df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+    a, b = count(now, "__a"), count(before, "__b").select(*[F.col(c).alias(f"__{c}") for c in columns], "__b")
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    zero = F.lit(0).cast("long")
+    x, y = F.coalesce("__a", zero), F.coalesce("__b", zero)
+    own = [F.when(F.col("__a").isNotNull(), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in columns]
+    return a.join(b, on, "full_outer").select(*own, F.greatest(x - y, zero).alias("new"), F.greatest(y - x, zero).alias("fixed"), F.least(x, y).alias("unchanged"))
+
+
+def new_findings(now: DataFrame, before: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """new-finding: critical findings (url, code, message) of a build that the one before didn't have; said: url of pages whose closing was told already, for which noindex and nosnippet aren't told again."""
+    key = lambda df: df.filter("level = 'critical'").groupBy("url", "code").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
+    fresh = key(now).join(key(before).select("url", "code", F.col("n").alias("had")), ["url", "code"], "left").filter("had is null or had < n")
+    if said is not None:
+        told = said.select("url").distinct().withColumn("code", F.explode(F.array(F.lit("noindex"), F.lit("nosnippet"))))
+        fresh = fresh.join(told, ["url", "code"], "left_anti")
+    return fresh.select(finding("critical", "new-finding", F.concat("code", F.lit(": "), "message")).alias("f")).select("f.*")
 
 
 def baseline(now: DataFrame, before: DataFrame) -> DataFrame:

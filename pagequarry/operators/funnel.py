@@ -73,13 +73,15 @@ def section_gaps(pages: DataFrame, reached: DataFrame, key: str = "key", depth:
 
 def section_base(pages: DataFrame, share: float = 0.8, most: int = 6) -> str:
     """The folder to start from: go down while one child holds `share` of the pages.  The loop runs on the counts of folders, not on pages."""
-    counts = path_rollup(pages, most=most).orderBy("depth", F.desc("pages"), "prefix").filter("pages > 1").limit(10_000).collect()
+    from .graph import settled
+
+    counts = settled(path_rollup(pages, most=most).filter("pages > 1"))
     base, size = "", pages.count()
     for depth in range(1, most + 1):
-        inside = [r for r in counts if r.depth == depth and r.prefix.startswith(base + "/")]
-        if not inside or inside[0].pages < share * size:
+        best = counts.filter((F.col("depth") == depth) & F.col("prefix").startswith(base + "/")).orderBy(F.desc("pages"), "prefix").first()
+        if best is None or best.pages < share * size:
             break
-        base, size = inside[0].prefix, inside[0].pages
+        base, size = best.prefix, best.pages
     return base
 
 

@@ -268,12 +268,12 @@ def funnel_steps(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT list_sort(list(DISTINCT event_type)) AS every FROM events), k AS (SELECT c_custkey AS key FROM customer),
-p AS (SELECT user_id AS key, list(DISTINCT event_type) AS has FROM events WHERE event_id % 7 <> 0 GROUP BY user_id)
+p AS (SELECT user_id AS key, list(DISTINCT event_type) AS has FROM events GROUP BY user_id)
 SELECT CASE WHEN has IS NULL THEN 'nowhere' WHEN len(has) = len(every) THEN 'everywhere' WHEN len(has) = len(every) - 1 THEN 'missing:' || array_to_string(list_filter(every, lambda x: NOT list_contains(has, x)), ',') ELSE 'partly' END AS bucket, count(*)::BIGINT AS n
 FROM k LEFT JOIN p USING (key) CROSS JOIN t GROUP BY 1"""
 )
 def cross_engine_buckets(spark, sf_dir):
-    seen = table(spark, sf_dir, "events").filter("event_id % 7 <> 0").select(F.col("event_type").alias("engine"), F.col("user_id").alias("key"))
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("user_id").alias("key"))
     return funnel.engine_buckets(seen, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
 
 
@@ -370,14 +370,9 @@ def sitemap_shards(spark, sf_dir):
 SELECT l_returnflag, l_linestatus, l_linenumber, greatest(coalesce(a, 0) - coalesce(b, 0), 0)::BIGINT AS new, greatest(coalesce(b, 0) - coalesce(a, 0), 0)::BIGINT AS fixed, least(coalesce(a, 0), coalesce(b, 0))::BIGINT AS unchanged FROM n FULL JOIN b USING (l_returnflag, l_linestatus, l_linenumber)"""
 )
 def baseline_multiset_diff(spark, sf_dir):
-    """Two multisets of findings by key.  Equal rows differ by their number only, so counts decide and no row of a key need meet another."""
-    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    """Two multisets of findings by key."""
     li = table(spark, sf_dir, "lineitem")
-    a = li.filter("l_orderkey % 2 = 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("a"))
-    b = li.filter("l_orderkey % 2 = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
-    x, y = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
-    zero = F.lit(0).cast("long")
-    return a.join(b, keys, "full_outer").select(*keys, F.greatest(x - y, zero).alias("new"), F.greatest(y - x, zero).alias("fixed"), F.least(x, y).cast("long").alias("unchanged"))
+    return compare.multiset_diff(li.filter("l_orderkey % 2 = 1"), li.filter("l_orderkey % 2 = 0"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
 @query(
@@ -472,10 +467,21 @@ def language_by_function_words(spark, sf_dir):
     return d.select("doc_id", F.col("lang").alias("declared"), language.detect(F.col("text")).alias("detected"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{Latin}]', '', 'g'))::BIGINT AS latin, length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g'))::BIGINT AS cyrillic, length(regexp_replace(text, '[^\\p{Greek}]', '', 'g'))::BIGINT AS greek FROM documents")
+_SCRIPTS = ", ".join(f"length(regexp_replace(text, '[^{cls}]', '', 'g'))::BIGINT AS {name}" for name, cls in language.SCRIPTS.items())
+
+
+@query(f"SELECT doc_id, {_SCRIPTS} FROM documents")
 def script_share(spark, sf_dir):
-    counts = language.script_counts(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[counts[s].cast("long").alias(s) for s in ("latin", "cyrillic", "greek")])
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(s) for s, c in language.script_counts(F.col("text")).items()])
+
+
+@query("SELECT code, count(*)::BIGINT AS n FROM (SELECT 'new-finding' AS code FROM (SELECT l_suppkey, l_partkey, count(*) FILTER (l_orderkey % 2 = 1) AS a, count(*) FILTER (l_orderkey % 2 = 0) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) WHERE a > b) GROUP BY code")
+def new_findings(spark, sf_dir):
+    """Findings of odd orders that even orders don't have, returned lines taken as critical."""
+    level = F.when(F.col("l_returnflag") == "R", "critical").otherwise("info")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", level.alias("level"), F.col("l_suppkey").cast("string").alias("url"), F.col("l_partkey").cast("string").alias("code"), F.lit("").alias("message"))
+    new = compare.new_findings(rows.filter("l_orderkey % 2 = 1"), rows.filter("l_orderkey % 2 = 0"))
+    return new.groupBy("code").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 @query("""SELECT doc_id, sample, count(*)::BIGINT AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(password|token|api_key|secret)\\b')) AS sample FROM documents) GROUP BY 1, 2""")
