@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagequarry.llm import pii, quality, toxicity
+from pagequarry.llm import bpe, pii, quality, toxicity
 from pagequarry.llm.gbt import BoostedTrees, Isotonic
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -162,7 +163,18 @@ def test_pipeline_stages(spark):
         if name == "pii":
             assert set(after) == set(before) and not any("@" in (r.text or "") and any(x.kind == "email" for x in r.pii_spans) for r in pii.find_pii(out).collect())
         seen = spark.createDataFrame(list(after.values()), docs.schema)
-    assert corpus_pipeline.STAGES[-1][1](spark, seen, SF).count() == seen.count()
+        if name == "toxicity":
+            scores = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+            assert set(after) == {i for i in before if scores[i] < 0.7}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    last = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in seen.collect()}
+    assert set(last) == set(texts)
+    for i, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert last[i].token_ids == ids and last[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
@@ -175,4 +187,20 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         if name == "pii":
             assert {r.text for r in docs.collect()} == {None, "", "a b c", "write to <EMAIL> now"}
-    assert docs.count() == 4
+    assert docs.count() == 5
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    """Rows that share a doc_id but not their text, copies of other rows, a row without id; and an empty table."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    a, b, c = ("the first text of some words here", "another text that is unlike it by far", "third one which has words of its own")
+    rows = [(5, a), (5, b), (4, a), (7, b), (None, c), (9, c), (None, "a text that no other row has at all")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(4, a), (5, b), (9, c), (0, rows[-1][1])])
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
