@@ -7,9 +7,8 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 All but the last return the columns of documents: doc_id, text, lang, source, n_chars.
 
 Defined results: rows with null or empty texts are clean and stay; an empty table
-stays empty.  Rows with a null doc_id can't be told apart by it: the near-duplicate
-stage keeps them all, the other stages treat them like any row.  Of rows that share a
-doc_id the near-duplicate stage keeps the first by text where it keeps any.
+stays empty.  Rows with a null or repeated doc_id are treated like any other: every
+stage decides row by row.  Rows without words are near duplicates of nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagequarry.llm import bpe, decontam, jaccard_join, pii, toxicity
 from pagequarry.llm.common import documents, written
@@ -33,14 +31,18 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id."""
-    docs = docs.select(*COLUMNS)
-    known = docs.filter("doc_id is not null")
-    kept = jaccard_join.near_duplicates(known).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = written(kept, "kept")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = known.join(kept, "doc_id", "left_semi").withColumn("__first", F.row_number().over(first)).filter("__first = 1").select(*COLUMNS)
-    return once.unionByName(docs.filter("doc_id is null"))
+    """Of each group of near duplicates one row: that with the least doc_id, null last, and of those the first that is read.
+
+    Rows are told apart by a number of their own, written with them, so rows that share
+    a doc_id are decided one by one, and texts aren't sorted or dealt out again.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.near_duplicates(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"))
+    kept = written(first.select("__row"), "kept")
+    few = kept.count() <= jaccard_join.BROADCAST_NODES  # 8 bytes each
+    return rows.join(F.broadcast(kept) if few else kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
