@@ -12,8 +12,10 @@ Documents are read once and aren't shuffled.  Items are broadcast in blocks of a
 checked size; more items than fit in one block take more passes over the documents.
 
 Defined results: null or empty texts hold nothing, and empty items stand nowhere.
-Of fewer than five words the whole is one shingle.  Rows with a null id take no part
-as items; repeated documents and items give a row each.  Extra columns are ignored.
+Of fewer than five words the whole is one shingle.  Items with a null id count in
+leak_count and are left out of find_leaks, whose rows name them; repeated documents
+and items give a row each.  A very long text is one set, read whole.  Empty tables
+give no rows.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,20 +88,20 @@ class SketchIndex:
         return out
 
 
-def _sets(items: DataFrame, item_id: str, text: str) -> DataFrame:
+def _sets(items: DataFrame, item_id: str, text: str, named: bool) -> DataFrame:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def run(column: pa.Array) -> pa.Array:
         return pa.array([s.view(np.int64) for s in shingle_sets(column)], pa.list_(pa.int64()))
 
-    rows = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text"))
+    rows = (items.filter(F.col(item_id).isNotNull()) if named else items).select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text"))
     return rows.select("item_id", run("text").alias("set")).filter(F.size("set") > 0)
 
 
-def _blocks(items: DataFrame, percent: int, block_shingles: int):
+def _blocks(items: DataFrame, percent: int, block_shingles: int, named: bool = True):
     """Indexes of the items, each in a broadcast of a checked size, with the Arrow type of the ids."""
     spark = items.sparkSession
     small_batches(spark)
-    sets = _sets(items, "item_id", "text")
+    sets = _sets(items, "item_id", "text", named)
     total = sets.agg(F.sum(F.size("set").cast("long")).alias("n")).first().n or 0
     blocks = int(2 * total // block_shingles) + 1
     sets = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)))
@@ -124,7 +126,7 @@ def leak_count(text: str, items: DataFrame, percent: int = THRESHOLD_PERCENT, bl
         return count
 
     out = F.lit(0).cast("long")
-    for shared, _ in _blocks(items, percent, block_shingles):
+    for shared, _ in _blocks(items, percent, block_shingles, named=False):
         out = out + counter(shared)(F.col(text).cast("string"))
     return out
 

@@ -8,8 +8,9 @@ Kinds: email, ip, card and phone are always kept when their checks pass.  iban
 (mod-97) and ssn (no checksum) are kept when their score reaches keep_score; an
 ssn does so only beside words that speak for it.
 
-Defined results: a null text is empty and has no spans.  Repeated rows are treated
-each.  Result columns replace input columns of the same name; others pass through.
+Defined results: a null or empty text has no spans; a very long one is searched whole,
+at a cost that grows with its length.  Repeated rows are treated each, an empty table
+stays empty.  Result columns replace input columns of the same name; others pass through.
 """
 
 from __future__ import annotations

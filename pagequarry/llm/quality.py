@@ -17,7 +17,8 @@ rows is one row a task; texts aren't shuffled.
 Defined results: a null text is empty.  Null hosts and paths are groups of their own.
 Null labels don't count; of contradicting labels of one id the larger does.  Without
 labels of both classes the evidence is the sample's rate (0.5 without labels).
-Repeated rows count each.  An empty table gives no rows.
+Repeated rows count each.  A very long text is read whole.  An empty table gives no
+rows.  Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

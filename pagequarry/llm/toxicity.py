@@ -11,7 +11,9 @@ it fit the trees, the rest the calibration.  Scoring is one pass without shuffle
 Defined results: a null text is scored as the empty text.  A null doc_id is never
 held out.  Null labels don't count; of contradicting labels of a doc_id the larger
 does.  Without labels of both classes every score is the sample's share of 1 (0
-without labels).  Repeated rows are scored each, alike.
+without labels).  Repeated rows are scored each, alike.  A very long text is scored
+whole, by rates that don't grow with it.  An empty table gives no rows.  A column of
+the input named like the score is replaced by it; all others pass through.
 """
 
 from __future__ import annotations

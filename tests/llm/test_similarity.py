@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import ann, decontam, jaccard_join
 from pagequarry.llm.components import components
@@ -114,6 +115,11 @@ def test_leaks_equal_brute_force(spark):
         assert {tuple(r) for r in decontam.find_leaks(d, b, block_shingles=block).collect()} == want
     counts = {r.doc_id: r.n for r in d.select("doc_id", decontam.leak_count("text", b).alias("n")).collect()}
     assert counts == {i: len({w for w in want if w[0] == i}) for i in range(len(docs))}
+    odd = spark.createDataFrame([(None, items[0], "x"), (1, items[0], "y"), (1, items[0], "y")], "item_id long, text string, shared string")
+    twice = d.filter(f"doc_id = {len(docs) - 1}").withColumn("item_id", F.lit("clash"))
+    assert twice.select(decontam.leak_count("text", odd).alias("n")).first().n == 3
+    assert sorted(r.item_id for r in decontam.find_leaks(twice.union(twice), odd).collect()) == [1] * 4
+    assert decontam.find_leaks(d.limit(0), b).count() == 0 and decontam.find_leaks(d, b.limit(0)).count() == 0
 
 
 def test_neighbours_reach_their_recall(spark):
@@ -163,6 +169,14 @@ def test_index_is_probed_where_neighbours_are_near():
     assert index.read < 0.1 * len(query_codes) * len(x)
 
 
+def test_neighbours_with_repeated_ids_ties_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 9), (2, [1.0, 0.0], 9), (3, [1.0, 0.0], 9), (3, [0.9, 0.0], 9), (20, [1.0, 0.0], 9), (20, [0.0, 1.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id = 20"), k=10).orderBy("rank").collect()]
+    assert [(q, n) for q, n, _, _ in got] == [(20, n) for n in range(1, len(got) + 1)]
+    assert {v for _, _, v, _ in got} == {1, 2, 3} and got == sorted(got, key=lambda r: (-r[3], r[2]))
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, None)]])
 def test_neighbours_of_tiny_tables(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
