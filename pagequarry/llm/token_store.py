@@ -185,7 +185,7 @@ def _packer(shared, end_id: int, shard_ids: int):
 
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column(1)):
+            for texts in text_slices(batch.column(1), 4 << 20):  # larger slices share more words
                 found = code.encode_column(texts)
                 key = batch.column(0).slice(at, len(texts))
                 at += len(texts)
@@ -207,7 +207,6 @@ def _packer(shared, end_id: int, shard_ids: int):
                     a = b
         if held:
             yield closed()
-        code.forget()
         trim()
 
     return run

@@ -342,4 +342,4 @@ class WordBpe:
 @lru_cache(maxsize=2)
 def coder(spec: str, by_library: bool = False) -> WordBpe:
     """One coder for each Python worker and vocabulary."""
-    return WordBpe(spec, by_library=by_library)
+    return WordBpe(spec, 40 << 20 if by_library else 24 << 20, by_library)
