@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import resolve
 from .functions import language, numbers, text
 from .functions.url import host_of, path_of, key_column, url_pattern
 from .operators import collapse, compare, content, crawl, duplicates, funnel, graph, hosting, hreflang, keywords, machine, publish, technical, templates
@@ -535,9 +536,16 @@ def citation_counts(spark, sf_dir):
     return _rates(spark, sf_dir).drop("p")
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT u.grp, u.cited AS a, u.runs AS n1, v.cited AS b, v.runs AS n2, u.cited + v.cited AS k FROM ({_RATES.format('user')}) u JOIN ({_RATES.format('assistant')}) v USING (grp)),
+x AS (SELECT *, unnest(range(greatest(0, k - n2), least(k, n1) + 1)) AS i FROM r),
+p AS (SELECT grp, i = a AS own, lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + lgamma(n2 + 1) - lgamma(k - i + 1) - lgamma(n2 - k + i + 1) - lgamma(n1 + n2 + 1) + lgamma(k + 1) + lgamma(n1 + n2 - k + 1) AS lp FROM x),
+o AS (SELECT grp, max(lp) FILTER (own) AS obs FROM p GROUP BY grp)
+SELECT grp, round(100000 * least(1, sum(exp(lp)) FILTER (lp <= obs + 1e-7)))::BIGINT AS p_100000 FROM p JOIN o USING (grp) GROUP BY grp"""
+)
 def citation_fisher(spark, sf_dir):
-    return _rates(spark, sf_dir)
+    """Fisher's exact test, two-sided, in steps of 1 / 100,000."""
+    return _rates(spark, sf_dir).select("grp", F.round(F.col("p") * 100_000).cast("long").alias("p_100000"))
 
 
 @query(
@@ -605,6 +613,23 @@ def link_form_votes(spark, sf_dir):
     return hrefs.groupBy(hosting.form(whole).alias("form")).agg(F.count(F.lit(1)).cast("long").alias("links"))
 
 
+_LOCAL = ["no-title", "title-short", "title-long", "no-description", "no-headings", "no-h1", "many-h1", "no-og", "no-viewport"]
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, html, length({TITLE}) AS w, len(regexp_extract_all(html, '<h[1-6][ >]')) AS h, len(regexp_extract_all(html, '<h1[ >]')) AS h1 FROM pages)
+SELECT page_id, unnest(list_filter([CASE WHEN w = 0 THEN 'no-title' END, CASE WHEN w BETWEEN 1 AND 19 THEN 'title-short' END, CASE WHEN w > 65 THEN 'title-long' END, CASE WHEN NOT contains(html, 'name="description"') THEN 'no-description' END,
+  CASE WHEN h = 0 THEN 'no-headings' END, CASE WHEN h > 0 AND h1 = 0 THEN 'no-h1' END, CASE WHEN h1 > 1 THEN 'many-h1' END, CASE WHEN NOT contains(html, 'og:title') THEN 'no-og' END, CASE WHEN NOT contains(html, 'name="viewport"') THEN 'no-viewport' END], lambda c: c IS NOT NULL)) AS code FROM t"""
+)
+def row_findings(spark, sf_dir):
+    """Findings that a page tells by itself, by parser, flags and the check's own list, as far as expressions on the raw markup tell them too."""
+    config = resolve()
+    pages = table(spark, sf_dir, "pages").withColumn("id", F.col("page_id").cast("string")).drop("url").withColumn("url", F.concat(F.lit("https://example.com/"), "id"))
+    flagged = technical.with_flags(parse_pages(pages, path="id"), config, "2024-06-01")
+    found = technical.technical(flagged, config).filter(F.col("code").isin(*_LOCAL))
+    return found.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "code")
+
+
 _ROBOTS = "User-agent: *\nDisallow: /en/9\nAllow: /en/99\nUser-agent: gptbot\nDisallow: /\n"
 
 
