@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import fisher_p
 from ..functions.url import url_pattern
-from ..model import finding, union_all
+from ..model import CODES, finding, union_all
 from .graph import few
 
 SHRUNK_WORDS, SHRUNK_SHARE, TEMPLATE_PAGES, TEMPLATE_SHARE = 50, 0.5, 5, 0.5
@@ -139,7 +139,9 @@ def glob_regex(glob: str) -> str:
 
 
 def apply_ignore(findings: DataFrame, rules: dict[str, list[str]], path: Column) -> DataFrame:
-    """findings with `accepted`: rules are globs of paths for a code or for *; an unknown code is an error of the caller's."""
+    """findings with `accepted`: rules are globs of paths for a code or for *; an unknown code is a ValueError."""
+    if unknown := sorted(set(rules) - CODES - {"*"}):
+        raise ValueError(f"unknown codes: {', '.join(unknown)}")
     hit = F.lit(False)
     for code, globs in rules.items():
         for g in globs:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def totals(events: DataFrame) -> DataFrame:
@@ -36,24 +38,35 @@ def coverage(pages: DataFrame, events: DataFrame) -> DataFrame:
     return df.select("bot", "publishable", F.coalesce("fetched", F.lit(0)).alias("fetched"), (F.col("publishable") - F.coalesce("fetched", F.lit(0))).alias("unseen"))
 
 
-def ipv4(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    return sum((F.get(parts, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
+@F.arrow_udf(T.StringType())
+def ip_hex(ips: pa.Array) -> pa.Array:
+    """An address as 32 hexadecimal digits, IPv4 mapped into IPv6; null for what is none."""
+    return pa.array([_hex(x) for x in ips.to_pylist()], pa.string())
+
+
+def _hex(ip: str | None) -> str | None:
+    try:
+        found = ipaddress.ip_address((ip or "").strip())
+    except ValueError:
+        return None
+    return f"{int(found) + (0xFFFF << 32 if found.version == 4 else 0):032x}"
 
 
 def ranges(spark: SparkSession, cidrs: list[tuple[str, str]]) -> DataFrame:
-    """bot, low, high of IPv4 networks; published lists have some hundred rows."""
+    """bot, low, high, block of networks, IPv4 and IPv6; published lists have some hundred rows.  block: the first 16 bits of the network's own kind, one row for each that it touches."""
     rows = []
     for bot, cidr in cidrs:
         net = ipaddress.ip_network(cidr, strict=False)
-        if net.version == 4:
-            rows.append((bot, int(net.network_address), int(net.broadcast_address)))
-    return spark.createDataFrame(rows, "bot string, low long, high long")
+        low, high = _hex(str(net.network_address)), _hex(str(net.broadcast_address))
+        at = 24 if net.version == 4 else 0
+        first, last = int(low[at : at + 4], 16), int(high[at : at + 4], 16)
+        rows += [(bot, low, high, f"{low[:at]}{block:04x}") for block in range(first, last + 1)]
+    return spark.createDataFrame(rows, "bot string, low string, high string, block string")
 
 
 def verify(events: DataFrame, networks: DataFrame) -> DataFrame:
-    """bot, ip, verified.  The range join is an equi-join on the bot and the address's first 16 bits (networks are exploded into those they touch), then an exact test."""
-    spans = networks.select("bot", "low", "high", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))).alias("block"))
-    seen = events.select("bot", "ip").distinct().withColumn("n", ipv4(F.col("ip"))).withColumn("block", F.shiftright("n", 16))
-    hit = seen.join(spans, ["bot", "block"]).filter(F.col("n").between(F.col("low"), F.col("high"))).select("bot", "ip").distinct().withColumn("verified", F.lit(True))
+    """bot, ip, verified.  The range join is an equi-join on the bot and the address's block (networks of `ranges`), then an exact test."""
+    seen = events.select("bot", "ip").distinct().withColumn("n", ip_hex("ip"))
+    seen = seen.withColumn("block", F.when(F.col("n").startswith("0" * 20 + "ffff"), F.substring("n", 1, 28)).otherwise(F.substring("n", 1, 4)))
+    hit = seen.join(networks, ["bot", "block"]).filter(F.col("n").between(F.col("low"), F.col("high"))).select("bot", "ip").distinct().withColumn("verified", F.lit(True))
     return seen.join(hit, ["bot", "ip"], "left").select("bot", "ip", F.coalesce("verified", F.lit(False)).alias("verified"))
