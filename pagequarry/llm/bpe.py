@@ -75,6 +75,7 @@ def decode(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded", voca
 def encode_and_decode(df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """encode and decode in one pass; the text decoded is made from the ids alone."""
     shared = shared_vocabulary(df.sparkSession, vocabulary)
+    small_batches(df.sparkSession, 1_000, 2 << 20)  # a batch comes back as ids and text, some times its size
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
     arrow = pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())])
 

@@ -552,11 +552,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         deleted(mixed)
     deleted(crowded, signed, pairs)
 
-    sets = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    slim = written(rows.select("doc_id", "n_shingles", "node"), "slim")
+    deleted(rows)  # the sets aren't read any more
+    sets = slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = grouped.join(least, "label").select("node", "component_id")
-    slim = rows.select("doc_id", "n_shingles", "node")
     return slim.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
