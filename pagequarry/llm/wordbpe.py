@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Recent
+from .common import Recent, trim
 
 #: Code points below this take the fast path, where Python's rules were compared with the library's.
 _FAST_END = 0x250
@@ -70,7 +70,6 @@ class WordBpe:
         model = data["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.symbols_of = {i: len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t, i in self.vocab.items()}
@@ -86,7 +85,8 @@ class WordBpe:
         self.made_at = dict.fromkeys(self.vocab.values(), -1)  # token -> rank of the merge that makes it; symbols: -1
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank_of_ids: dict[int, int] = {}
-        for (a, b), rank in self.ranks.items():
+        for rank, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank_of_ids[x << 20 | y] = rank
             if self.made_at[z] < 0:
@@ -97,7 +97,9 @@ class WordBpe:
         self._special_ids = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        library = Tokenizer.from_str(spec)
+        # Without its model where that isn't asked for: the normalizer and the split pattern are all that is left of it.
+        bare = data | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}
+        library = Tokenizer.from_str(spec if by_library else json.dumps(bare))
         library.no_padding()
         library.no_truncation()
         self._model = Tokenizer(library.model) if by_library else None
@@ -151,7 +153,8 @@ class WordBpe:
         """Plain merging by rank, for the verdicts on single tokens only."""
         parts = list(symbols)
         while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            ids = [self.vocab[x] for x in parts]
+            rank, at = min((self.rank_of_ids.get(a << 20 | b, 1 << 60), i) for i, (a, b) in enumerate(itertools.pairwise(ids)))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -342,4 +345,6 @@ class WordBpe:
 @lru_cache(maxsize=2)
 def coder(spec: str, by_library: bool = False) -> WordBpe:
     """One coder for each Python worker and vocabulary."""
-    return WordBpe(spec, 40 << 20 if by_library else 24 << 20, by_library)
+    made = WordBpe(spec, 40 << 20 if by_library else 24 << 20, by_library)
+    trim()
+    return made
