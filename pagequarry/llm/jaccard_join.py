@@ -25,7 +25,11 @@ several tasks from the start.  Pairs within a component needn't be compared, so
 component is lost and no group costs its square.
 
 Rows carry node keys, never texts; candidate pairs move with signatures of some
-hundred bytes, and the sets of surviving pairs alone are shuffled.  Tables that no later step reads are deleted.
+hundred bytes.  Sets take about twice the room of their texts, so they aren't kept: they
+are made again from the texts where they are counted and where tiles are filled, and
+those of nodes in candidate pairs and hot tiles alone are written and shuffled.  Texts
+are read four times; a table that may differ between readings must be written before.
+Tables that no later step reads are deleted.
 
 Defined results: a null or empty text, or one without words, has no shingles and is
 its own component.  A very long text is one set, read whole.  An empty table gives none.  Rows with a null doc_id get no component of others: they are kept
@@ -70,7 +74,10 @@ BLOCK = 2_048
 #: Needed nodes up to this number are broadcast (8 bytes each), more are joined by shuffle.
 BROADCAST_NODES = 500_000
 
-_NODE_SCHEMA = "doc_id long, node long, n_shingles long, bits binary, hashes binary"
+#: Cells of the filter of needed nodes: so many a node, and at most so many in all (16 MB broadcast), in parts of at most PART_CELLS.
+CELLS_EACH, MOST_CELLS, PART_CELLS = 64, 1 << 27, 1 << 20
+
+_NODE_SCHEMA = "doc_id long, node long, n_shingles long, bits binary"
 
 
 def _need(a, b):
@@ -101,35 +108,83 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return (na + nb - int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum())) // 2
 
 
+def _nodes_of(texts: pa.Array, seen: set[int]) -> Iterator[tuple[int | None, np.ndarray, bool]]:
+    """For each text its node, its set, and whether the node is the first of its kind in a task, by the nodes seen there."""
+    for found in shingle_sets(texts):
+        if not len(found):
+            yield None, found, False
+            continue
+        import xxhash
+
+        node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+        first = node not in seen
+        if first:
+            seen.add(node)
+            if len(seen) > 2_000_000:
+                seen.clear()
+        yield node, found, first
+
+
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their node; the first of a node in a task carries the set and its bitmap."""
+    """Documents with their node; the first of a node in a task carries its bitmap."""
     seen: set[int] = set()
     for batch in batches:
-        nodes, sizes, bits, sets = [], [], [], []
-        for found in shingle_sets(batch.column(1)):
-            n = len(found)
-            raw = found.tobytes()
-            node = None
-            if n:
-                import xxhash
-
-                node = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-            first = n > 0 and node not in seen
-            if first:
-                seen.add(node)
-                if len(seen) > 2_000_000:
-                    seen.clear()
+        nodes, sizes, bits = [], [], []
+        for node, found, first in _nodes_of(batch.column(1), seen):
             nodes.append(node)
-            sizes.append(n)
+            sizes.append(len(found))
             bits.append(parity_bitmap(found) if first else None)
-            sets.append(raw if first else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())],
-            ["doc_id", "node", "n_shingles", "bits", "hashes"],
+            [batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+            ["doc_id", "node", "n_shingles", "bits"],
         )
         trim()
 
 
+def _cells(needed: DataFrame) -> np.ndarray:
+    """A bitmap in which the cell of each needed node is marked: its low bits."""
+    count, width = needed.count(), 1 << 12
+    while width < min(CELLS_EACH * count, MOST_CELLS):
+        width *= 2
+    size = min(width, PART_CELLS)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            part = cells // size
+            for k in np.unique(part).tolist():
+                inside = cells[part == k] % size
+                np.bitwise_or.at(held.setdefault(k, np.zeros(size // 8, dtype=np.uint8)), inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+        for k, bitmap in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([bitmap.tobytes()], pa.binary())], ["part", "bitmap"])
+
+    cell = F.col("node").bitwiseAND(F.lit(width - 1).cast("long")).alias("cell")
+    parts = needed.select(cell).repartition(F.floor(F.col("cell") / size)).mapInArrow(marked, "part long, bitmap binary")
+    out = np.zeros(width // 8, dtype=np.uint8)
+    for k, bitmap in parts.collect():  # a row for each part: MOST_CELLS / 8 bytes at most
+        out[k * size // 8 : (k + 1) * size // 8] = np.frombuffer(bitmap, dtype=np.uint8)
+    return out
+
+
+def _sets_of(cells):
+    """Maker of the sets of nodes whose cell is marked, the first of each node in a task; some others pass as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, seen = cells.value, set()
+        low = 8 * len(marks) - 1
+        for batch in batches:
+            nodes, sets = [], []
+            for node, found, first in _nodes_of(batch.column(0), seen):
+                if first and marks[(node & low) >> 3] >> (node & 7) & 1:
+                    nodes.append(node)
+                    sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
+            trim()
+
+    return run
+
+
 #: Where the hashes are cut to be counted by parts, for the memory of sorting.
 _CUTS = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
 
@@ -137,6 +192,7 @@ _CUTS = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that occur COUNT_LEAST times or more among some millions, with their counts."""
     held: list[list[np.ndarray]] = [[] for _ in range(8)]
+    seen: set[int] = set()
     n = 0
 
     def told() -> Iterator[pa.RecordBatch]:
@@ -147,7 +203,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
 
     for batch in batches:
-        sets = [np.frombuffer(raw.as_py(), dtype=np.uint64) for raw in batch.column(0)]
+        sets = [found for _, found, first in _nodes_of(batch.column(0), seen) if first]
         if not sets:
             continue
         cuts = [[0, *np.searchsorted(x, _CUTS).tolist(), len(x)] for x in sets]
@@ -180,10 +236,13 @@ def _prefixes(hot, buckets: int, percent: int, split: int):
         by_hash = np.argsort(common, kind="stable")
         ordered = common[by_hash]
         parts_of = np.maximum(-(-counts // split), 1)[by_hash]
+        seen: set[int] = set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
-            for node, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = np.frombuffer(raw.as_py(), dtype=np.uint64)
+            for node, found, first in _nodes_of(batch.column(0), seen):
+                if not first:
+                    continue
+                size = len(found)
                 take = size - (-(-percent * size // 100)) + 1
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
@@ -430,7 +489,7 @@ def _among(rows: DataFrame, needed: DataFrame) -> DataFrame:
     return rows.join(needed, "node", "left_semi")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets link, by exact intersection of the sorted arrays.  Only the sets of pairs' nodes are shuffled."""
 
     @F.arrow_udf(T.BooleanType())
@@ -445,7 +504,7 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = _among(nodes.select("node", "hashes"), needed).dropDuplicates(["node"])
+    sets = _among(sets, needed).dropDuplicates(["node"])
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("xb"))
     return pairs.join(a, "a").join(b, "b").filter(linked("xa", "xb")).select("a", "b")
@@ -486,9 +545,9 @@ def _mixed_tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _joined(labels: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Labels after the links among more pairs."""
-    links = written(_links(pairs, nodes), "links")
+    links = written(_links(pairs, sets), "links")
     if links.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
     deleted(links)
@@ -499,33 +558,37 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """-> doc_id, n_shingles, component_id for each row: the least doc_id reachable by links of percent or more."""
     spark = df.sparkSession
     small_batches(spark)
+    texts = df.select(F.col(text).cast("string").alias("text"))
     rows = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_node_rows, _NODE_SCHEMA), "nodes")
-    nodes = rows.filter(F.col("hashes").isNotNull()).select("node", "n_shingles", "bits", "hashes")
+    nodes = rows.filter(F.col("bits").isNotNull()).select("node", "n_shingles", "bits")
     total, counted = (x or 0 for x in nodes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1), F.sum("n_shingles")).first())
 
     # Counted in pieces as large as memory allows, as a shingle that is spread over many small ones would be missed.
     pieces = max(int(counted // COUNT_CHUNK) + 1, spark.sparkContext.defaultParallelism)
-    common = nodes.select("hashes").coalesce(pieces).mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = texts.coalesce(pieces).mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     hot = common.filter(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas()[::-1]  # at most MOST_HOT rows
     hot = spark.sparkContext.broadcast((hot["shingle"].to_numpy(dtype=np.int64).view(np.uint64), hot["n"].to_numpy(dtype=np.int64)))
 
     buckets = int(total // BUCKET_ENTRIES) + 16
-    blobs = nodes.select("node", "n_shingles", "hashes").mapInArrow(_prefixes(hot, buckets, percent, split), "bucket long, blob binary")
+    blobs = texts.mapInArrow(_prefixes(hot, buckets, percent, split), "bucket long, blob binary")
     tiled = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(hot, percent, split, tile), "a long, b long, na long, nb long, shared long, tile long")
     tiled = written(tiled, "tiles")
-    signed = written(nodes.select("node", "n_shingles", "bits").dropDuplicates(["node"]), "signed")
+    signed = written(nodes.dropDuplicates(["node"]), "signed")
     crowded = written(tiled.filter(F.col("tile").isNotNull()).select("tile", F.col("a").alias("node"), F.col("na").alias("n_shingles")).distinct(), "crowded")
     pairs = written(_allowed(_met_enough(tiled.filter(F.col("b").isNotNull()), crowded, percent), signed), "pairs")
     deleted(tiled)
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    cells = spark.sparkContext.broadcast(_cells(needed))
+    sets = written(texts.mapInArrow(_sets_of(cells), "node long, hashes binary"), "sets")
     # Of a group of alike texts first the pairs with each node's least and likest partners, then those that still part components.
     few = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     few = written(few.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))).distinct(), "few")
-    links = written(_links(few, nodes), "links")
+    links = written(_links(few, sets), "links")
     labels = components(links)
     deleted(links)
     parted = written(_parted(pairs, labels).join(few, ["a", "b"], "left_anti").select("a", "b"), "parted")
     if parted.limit(1).count():
-        labels = _joined(labels, parted, nodes)
+        labels = _joined(labels, parted, sets)
     deleted(parted, few)
 
     tested = pairs.select("a", "b")
@@ -548,14 +611,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         more = groups.mapInArrow(_hot_pairs(percent, most), "a long, b long").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(more)
-        labels = _joined(labels, more, nodes)
+        labels = _joined(labels, more, sets)
         deleted(mixed)
-    deleted(crowded, signed, pairs)
+    deleted(crowded, signed, pairs, sets)
 
     slim = written(rows.select("doc_id", "n_shingles", "node"), "slim")
-    deleted(rows)  # the sets aren't read any more
-    sets = slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    grouped = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    deleted(rows)  # the bitmaps aren't read any more
+    least_of = slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    grouped = least_of.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = grouped.join(least, "label").select("node", "component_id")
     return slim.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
